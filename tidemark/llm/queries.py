@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe_codec import op5_byte_bpe
+from tidemark.llm.token_counts import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op5_byte_bpe,)}
+    return {f.__name__: f for f in (op4_token_counts, op5_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
