@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plus(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` and more columns, by name and type."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items())])
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, mod ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
