@@ -105,7 +105,7 @@ class ByteCodec:
     def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, SHA-256 of the ids with commas, SHA-256 of the decoded bytes."""
         cut = [self.cutter.cut(text) for text in texts]
-        self.digests.fill(w for words in cut if words for w in words)
+        self.digests.fill(set().union(*(words for words in cut if words)))
         get = self.digests.__getitem__
         for text, words in zip(texts, cut, strict=True):
             if words is None:

@@ -67,9 +67,10 @@ class Cache(dict):
         self.make, self.most = make, most
 
     def fill(self, words: Iterable[str]) -> None:
-        new = [w for w in set(words) if w not in self]
+        words = words if isinstance(words, set) else set(words)
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(set(words))
+            new = list(words)
         if new:
             self.update(zip(new, self.make(new), strict=True))
