@@ -12,12 +12,13 @@ from tidemark.llm.language_id import op7_language_id
 from tidemark.llm.packing import op9_best_fit
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.token_counts import op4_token_counts
+from tidemark.llm.topk_search import op6_top_k
 from tidemark.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op4_token_counts, op5_byte_bpe, op7_language_id, op9_best_fit, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op4_token_counts, op5_byte_bpe, op6_top_k, op7_language_id, op9_best_fit, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
