@@ -39,6 +39,8 @@ DEPTH, NODES = 5, 32
 END, RARE, MIDDLE, FIRST = 0, 1, 2, 3  # classes; clusters begin at FIRST
 CONTEXTS, SLOTS = 5, 1 << 14
 SEGMENT, RATE, START = 256, 0.02, 0.3
+#: Bytes of text that are worked on together; the arrays for them take some sixty times that.
+_SLICE = 1 << 20
 #: Of each word, the mass that a word never seen has.
 PRIOR = 0.1
 
@@ -170,7 +172,7 @@ def _counts(training: DataFrame, text: str) -> DataFrame:
             unique, back = np.unique(np.concatenate(keys), return_inverse=True)
             return unique, np.bincount(back, np.concatenate(sums), len(unique)).astype(np.int64)
 
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             hashes, _ = word_hashes(*text_bytes(batch.column(0)))
             unique, n = np.unique(hashes, return_counts=True)
             keys.append(unique)
@@ -219,7 +221,7 @@ def _clusters(training: DataFrame, text: str, vocabulary: Vocabulary) -> Vocabul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, cells = shared.value, np.zeros(CORE * ANCHORS, np.int64)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             tokens = Tokens(batch.column(0))
             places = np.where(tokens.is_end, -1, vocabulary.find(tokens.hashes))
             rank = np.where(places >= 0, vocabulary.rank[places], COMMON).astype(np.int64)
@@ -244,7 +246,7 @@ def _tables(training: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(2 * size, np.int64)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             tokens = Tokens(batch.column(0))
             if not len(tokens.owner):
                 continue
@@ -255,12 +257,7 @@ def _tables(training: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarra
             for k in range(CONTEXTS):
                 for d in range(DEPTH):
                     cell = ((k * SLOTS + slot[k]) * NODES + nodes[d]) * 2 + bits[d]
-                    unique, n = np.unique(cell, return_counts=True) if len(cell) < 200_000 else (None, None)
-                    if unique is None:
-                        span = cells[k * SLOTS * NODES * 2 : (k + 1) * SLOTS * NODES * 2]
-                        span += np.bincount(cell - k * SLOTS * NODES * 2, minlength=len(span))
-                    else:
-                        cells[unique] += n
+                    np.add.at(cells, cell, 1)
         yield _packed("tables", cells, 64)
 
     n = _summed(training.select(text).mapInArrow(run, "part int, places binary, counts binary"), 2 * size, 64).reshape(size, 2)
@@ -294,7 +291,7 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tables = model.value
         masses = vocabulary.masses()
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 2 * _SLICE):
             data, _ = text_bytes(batch.column(2))
             tokens = Tokens(batch.column(2))
             n = batch.num_rows
