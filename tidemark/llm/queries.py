@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe_codec import op5_byte_bpe
+from tidemark.llm.chroma import op3_chroma
 from tidemark.llm.context_mixing import op8_context_mixing
 from tidemark.llm.jaccard_join import op1_jaccard_join
 from tidemark.llm.language_id import op7_language_id
@@ -19,7 +20,7 @@ from tidemark.llm.toxicity import op10_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    return {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op4_token_counts, op5_byte_bpe, op6_top_k, op7_language_id, op8_context_mixing, op9_best_fit, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_sharding, op3_chroma, op4_token_counts, op5_byte_bpe, op6_top_k, op7_language_id, op8_context_mixing, op9_best_fit, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
