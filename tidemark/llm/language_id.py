@@ -27,6 +27,8 @@ PROFILE = 400
 #: Labelled documents of a language, about, that profiles are learned from (the bound of the training sample).
 SAMPLE = 4000
 UNKNOWN = "und"
+#: Bytes of text whose windows are sorted together; that takes some hundred times that.
+_SLICE = 1 << 20
 _EDGE, _OTHER, _N = 1, 255, 4
 _BITS = np.uint64(8)
 
@@ -131,7 +133,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen = _codes(""), {}
-        for batch in batches:
+        for batch in slices(batches, text, _SLICE):
             points, _ = _points(batch.column(1).to_pylist())
             found, n = np.unique(points[codes[points] > 0], return_counts=True)
             for c, k in zip(found.tolist(), n.tolist(), strict=True):
@@ -143,7 +145,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, total = _codes(alphabet), {}
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             names = batch.column(0).to_pylist()
             which = sorted(set(names))
             points, owner = _points(batch.column(1).to_pylist())
@@ -208,7 +210,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = None
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, _SLICE):
             codes = _codes(shared.value.letters) if codes is None else codes
             languages, score = classify(batch.column(batch.schema.get_field_index(text)).to_pylist(), shared.value, codes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
