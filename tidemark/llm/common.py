@@ -37,11 +37,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there.
 
     The table survives the loss of executors; every later read sees the same
-    rows, also where the plan that made them wasn't deterministic.
+    rows, also where the plan that made them wasn't deterministic.  The shuffle
+    files that made it are garbage then; Spark deletes them once the driver's
+    JVM has collected theirs, so that is asked for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,6 +40,8 @@ from tidemark.llm.components import components
 FRAGMENTS = 4
 #: n-grams whose frequency orders them; those that occur less often than ``FREQUENT`` count as rare.
 HEAVIEST, FREQUENT = 1 << 18, 6
+#: Bytes of text that are hashed together; the arrays for them take some sixty times that.
+_SLICE = 1 << 20
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
@@ -72,7 +74,7 @@ def _set_hash(grams: np.ndarray) -> int:
 def _first_of_class(batches: Iterator[pa.RecordBatch], column: int, n: int, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
     """Size, hash and n-grams of each different set of a partition that isn't empty, once."""
     seen: set[tuple[int, int]] = set()
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, _SLICE):
         for grams in ngram_sets(batch, column, n):
             key = (len(grams), _set_hash(grams))
             if key[0] and key not in seen:
@@ -82,7 +84,7 @@ def _first_of_class(batches: Iterator[pa.RecordBatch], column: int, n: int, text
 
 def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             found = [(len(g), _set_hash(g)) for g in ngram_sets(batch, 1, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=[key, "n", "c"])
 
@@ -112,7 +114,7 @@ def _heavy(docs: DataFrame, text: str, n: int) -> tuple[Broadcast, int]:
         for _, _, grams in _first_of_class(batches, 0, n, text):
             held.append(grams)
             size += len(grams)
-            if size > 8_000_000:
+            if size > 2_000_000:
                 yield from packed(held)
                 held, size = [], 0
         if held:
@@ -182,7 +184,7 @@ def _segments(docs: DataFrame, text: str, n: int, wanted: Broadcast) -> DataFram
 
         for size, set_hash, grams in _first_of_class(batches, 0, n, text):
             slot = set_hash % _SLOTS
-            if not bits[slot >> 6] >> (slot & 63) & 1:
+            if not int(bits[slot >> 6]) >> (slot & 63) & 1:
                 continue
             cuts = np.searchsorted(grams, np.arange(1, FRAGMENTS, dtype=np.uint64) << shift)
             for fragment, segment in enumerate(np.split(grams, cuts)):
@@ -205,12 +207,22 @@ _SLOTS = 1 << 23
 def _bit_table(classes: DataFrame) -> Broadcast:
     slot = F.pmod("c", F.lit(_SLOTS))
     words = classes.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(c, {_SLOTS}) % 64 as int))").alias("b"))
-    bits = [0] * (_SLOTS >> 6)
-    for w, b in words.groupBy("w").agg(F.bit_or("b")).collect():
-        bits[w] = b & (1 << 64) - 1
+    bits = np.zeros(_SLOTS >> 6, np.uint64)
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
     return classes.sparkSession.sparkContext.broadcast(bits)
 
 
+def _stored_segments(docs: DataFrame, text: str, n: int, pairs: DataFrame) -> DataFrame:
+    """The segments of the sets that ``pairs`` names, and of few others, stored; each set's once."""
+    both = pairs.select("c").unionByName(pairs.select(F.col("c2").alias("c"))).distinct()
+    wanted = _bit_table(both)
+    segments = _segments(docs, text, n, wanted).groupBy("n", "c", "fragment").agg(F.first("grams").alias("grams"))
+    segments = written(segments, "segments")
+    wanted.unpersist()
+    return segments
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (n, c, n2, c2) that are similar: overlaps are counted for each fragment and summed."""
     left = pairs.join(segments.withColumnRenamed("grams", "left"), ["n", "c"])
@@ -236,31 +248,32 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     places = _prefixes(docs, text, n, percent, heavy, bits).select("n", "c", F.posexplode("grams").alias("place", "gram"))
     places = places.repartition("gram").groupBy("gram", "n", "c").agg(F.min("place").alias("place"))
     order = Window.partitionBy("gram").orderBy("n", "c")
-    met = places.select("*", F.lead("n").over(order).alias("n2"), F.lead("c").over(order).alias("c2"), F.lag("c").over(order).alias("before"))
+    ahead = [F.lead(x).over(order).alias(f"{x}2") for x in ("n", "c", "place")]
+    met = places.select("*", *ahead, F.lag("c").over(order).alias("before"))
     met = written(met.where(F.col("c2").isNotNull() | F.col("before").isNotNull()).drop("before"), "met")
     near = percent * F.col("n2") <= 100 * F.col("n")
-    pairs = written(met.where(F.col("c2").isNotNull() & near).select("n", "c", "n2", "c2").distinct(), "pairs")
-
-    wanted = _bit_table(met.select("c").distinct())
-    segments = _segments(docs, text, n, wanted).groupBy("n", "c", "fragment").agg(F.first("grams").alias("grams"))
-    segments = written(segments, "segments")
+    # At the first n-gram that two sets share, no more than what is left of both can be common.
+    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    fits = (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
+    pairs = written(met.where(F.col("c2").isNotNull() & near & fits).select("n", "c", "n2", "c2").distinct(), "pairs")
 
+    segments = _stored_segments(docs, text, n, pairs)
     links = written(_linked(pairs, segments, percent), "links")
     node, node2 = F.struct("n", "c"), F.struct(F.col("n2").alias("n"), F.col("c2").alias("c"))
     groups = written(components(links.select(node.alias("u"), node2.alias("v"))), "groups")
 
     # What is left: pairs that met and are in different groups.
     own = groups.select(F.col("node.n").alias("n"), F.col("node.c").alias("c"), F.xxhash64("root").alias("g"))
-    still = met.drop("n2", "c2").join(own, ["n", "c"], "left").withColumn("g", F.coalesce("g", F.xxhash64(node)))
+    still = met.drop("n2", "c2", "place2").join(own, ["n", "c"], "left").withColumn("g", F.coalesce("g", F.xxhash64(node)))
     mixed = still.groupBy("gram").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a != z").select("gram")
     still = still.join(mixed, "gram", "left_semi")
     other = still.select("gram", *(F.col(x).alias(x + "2") for x in ("n", "c", "g", "place")))
-    # At the first n-gram that two sets share, no more than what is left of both can be common.
-    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    fits = (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
     later = (F.col("n2") > F.col("n")) | (F.col("n2") == F.col("n")) & (F.col("c2") > F.col("c"))
     rest = still.join(other, "gram").where((F.col("g") != F.col("g2")) & later & near & fits).select("n", "c", "n2", "c2").distinct()
     rest = written(rest.join(pairs, ["n", "c", "n2", "c2"], "left_anti"), "pairs")
+    drop_written(met)
+    drop_written(segments)
+    segments = _stored_segments(docs, text, n, rest)
     more = _linked(rest, segments, percent).select(node.alias("u"), node2.alias("v"))
     whole = components(more.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
@@ -269,10 +282,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     named = classes.join(whole.select(F.col("node.n").alias("n"), F.col("node.c").alias("c"), "root"), ["n", "c"], "left").withColumn("root", F.coalesce("root", node))
     named = named.join(named.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("n", "c", "component_id")
     out = sets.join(written(named, "named"), ["n", "c"], "left")
-    for used in (met, pairs, segments, links, rest):
+    for used in (pairs, segments, links, rest):
         drop_written(used)
     heavy.unpersist()
-    wanted.unpersist()
     return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
 
 
