@@ -18,6 +18,7 @@ gets all documents of a common length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -151,21 +152,31 @@ class IdEncoder:
     """Ids by a byte-level tokenizers file with the library's defaults; one per worker process."""
 
     def __init__(self, path: str, pattern: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cutter = PreTokens(byte_level_narrow(), pattern)
-        self.words = Cache(lambda new: [np.array(e.ids, np.uint32) for e in self.library.encode_batch(new, add_special_tokens=False)], 200_000)
-
-    def encode_all(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """The ids of each text and then ``end``."""
-        tail = np.array([end], np.uint32)
+        self.words = Cache(self._encode_words)
+
+    def _encode_words(self, words: list[str], together: int = 1024) -> Iterator[bytes]:
+        """The ids of each pre-token; the library takes many in one call, each as a word of its own."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        for encoded in self.library.encode_batch(groups, is_pretokenized=True, add_special_tokens=False):
+            raw = np.array(encoded.ids, "<u4").tobytes()
+            cuts = np.flatnonzero(np.diff(np.array(encoded.word_ids))) + 1
+            cuts = [0, *(4 * cuts).tolist(), len(raw)]
+            yield from (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def encode_all(self, texts: list[str], end: int) -> list[bytes]:
+        """The ids of each text and then ``end``, as little-endian unsigned 32-bit numbers."""
+        tail = np.array([end], "<u4").tobytes()
         cut = [None if any(s in x for s in self.special) else self.cutter.cut(x) for x in texts]
         self.words.fill(set().union(*(words for words in cut if words)))
         get = self.words.__getitem__
         return [
-            np.concatenate([*map(get, words), tail]) if words is not None else np.array([*self.library.encode(x, add_special_tokens=False).ids, end], np.uint32)
+            (b"".join(map(get, words)) if words is not None else np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()) + tail
             for x, words in zip(texts, cut, strict=True)
         ]
 
@@ -173,6 +184,13 @@ class IdEncoder:
 _ENCODERS: dict[str, IdEncoder] = {}
 
 
+def worker_encoder(path: str, pattern: str) -> IdEncoder:
+    """This process's encoder; made once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = IdEncoder(path, pattern)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, path: str, pattern: str, end: int, most: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """The documents' pieces: ``key``, piece, start, length, ids_crc32 and, if wanted, ids.
 
@@ -182,21 +200,19 @@ def pieces(docs: DataFrame, path: str, pattern: str, end: int, most: int, key: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = IdEncoder(path, pattern)
-        for batch in slices(batches, text):
+        encoder = worker_encoder(path, pattern)
+        for batch in slices(batches, text, 4 << 20):
             keys, numbers, starts, lengths, sums, kept = [], [], [], [], [], []
-            for row, ids in enumerate(_ENCODERS[path].encode_all([x or "" for x in batch.column(1).to_pylist()], end)):
-                ids = ids.astype("<u4")
-                start = 0
-                for number, stop in enumerate(range((len(ids) - 1) % most + 1, len(ids) + 1, most)):
+            for row, ids in enumerate(encoder.encode_all([x or "" for x in batch.column(1).to_pylist()], end)):
+                start, n = 0, len(ids) // 4
+                for number, stop in enumerate(range((n - 1) % most + 1, n + 1, most)):
                     keys.append(row)
                     numbers.append(number)
                     starts.append(start)
                     lengths.append(stop - start)
-                    sums.append(zlib.crc32(ids[start:stop].tobytes()))
+                    sums.append(zlib.crc32(ids[4 * start : 4 * stop]))
                     if with_ids:
-                        kept.append(ids[start:stop].astype(np.int32))
+                        kept.append(np.frombuffer(ids[4 * start : 4 * stop], "<i4"))
                     start = stop
             columns = [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))]
             yield pa.RecordBatch.from_arrays(
