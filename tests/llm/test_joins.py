@@ -53,8 +53,7 @@ def test_word_hashes():
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 100)])
-def test_jaccard_components(spark, n, percent, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+def test_jaccard_components(spark, n, percent):
     rng = random.Random(n)
     vocabulary = "ab cd ef gh ij kl mn op qr st uv wx".split()
     base = [" ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 3, 5, 30, 60]))) for _ in range(30)]
@@ -67,7 +66,7 @@ def test_jaccard_components(spark, n, percent, monkeypatch):
     rows += [(500 + i, "common start of all " + base[7] + f" tail{i}") for i in range(40)] + [(501, rows[6][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("n", F.lit("other")).withColumn("c", F.lit(1))
     got = sorted(map(tuple, jaccard_join.jaccard_components(docs, n, percent).collect()))
-    want = brute([r for r in rows if r[0] != 501] , n, percent)
+    want = brute([r for r in rows if r[0] != 501], n, percent)
     assert [r for r in got if r[0] < 500] == [r for r in want if r[0] < 500]
     assert len(got) == len(rows)
 
