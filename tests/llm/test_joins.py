@@ -166,3 +166,30 @@ def test_fingerprint_rows(spark):
     assert [(r.offset, r.bit_error) for r in chroma.align_pairs(pairs, "a", "b").collect()] == [(0, 0.0), (None, None)]
 
 
+
+
+def test_chroma_aligns_far_ids(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=64) * 0.12]) for i in range(40)]
+    rows += [(900, rows[2][1][8:] + rows[30][1][:8]), (901, rows[7][1]), (902, None), (903, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    block, chroma.BLOCK = chroma.BLOCK, 2000
+    try:
+        found = {r.vec_id: r for r in chroma.op3_chroma(spark, str(tmp_path)).collect()}
+    finally:
+        chroma.BLOCK = block
+    ints = {i: chroma.pack(chroma.chroma(*chroma.played(np.float32(v).tolist()))) for i, v in rows if v}
+    for i in range(40):
+        others = {j: chroma.align(ints[i], ints[j]) for j in ints if j not in (i, 901)}
+        assert [(x.copy_of, x.offset, x.bit_error) for x in found[i].aligned] == sorted((j, *f) for j, f in others.items() if f)
+    assert 2 in [x.copy_of for x in found[900].aligned] and found[901].copy_of == 7 and found[901].aligned == found[7].aligned
+    assert found[902].aligned == found[903].aligned == []
+
+
+def test_align_blocks_is_align_over_all_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    sides = [[(rng.integers(0, 6, rng.integers(0, 30)) << 12).astype(np.uint32) for _ in range(25)] for _ in range(2)]
+    plain = sorted((a, b) for a, x in enumerate(sides[0]) for b, y in enumerate(sides[1]) if chroma.align(x, y))
+    for most in (1, 500, 4_000_000):
+        monkeypatch.setattr(chroma, "MATCHES", most)
+        assert sorted(chroma.align_blocks(*sides)) == plain

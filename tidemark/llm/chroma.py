@@ -9,11 +9,14 @@ for each position.
 
 Two fingerprints align at the offset at which most positions have integers in
 common (by the leading bits); the share of bits that differ there tells how
-alike they are.
+alike they are.  Over a table every fingerprint meets every other one: distinct
+fingerprints are dealt into blocks by hash, and for each pair of blocks sorted
+leading bits give all positions in common, which are counted by pair and offset.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -32,6 +35,8 @@ SPAN, SMOOTH = 16, (0.25, 0.75, 1.0, 0.75, 0.25)
 EDGES = (-0.12, 0.0, 0.12)
 #: Leading bits by which positions are paired.
 LEADING = 20
+#: Bytes of fingerprints in a block, about, and matching positions that are counted together.
+BLOCK, MATCHES = 400_000, 4_000_000
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -164,6 +169,69 @@ def align_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.mapInArrow(run, plus(pairs, offset="int", bit_error="double"))
 
 
+def align_blocks(left: list[np.ndarray], right: list[np.ndarray], least: int = 4) -> list[tuple[int, int]]:
+    """Places in ``left`` and ``right`` of all pairs that ``align``: those with ``least`` positions in common at some offset."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    if not sizes[0].sum() or not sizes[1].sum():
+        return []
+    key, starts = np.uint32(32 - LEADING), [np.cumsum(n) - n for n in sizes]
+    codes = [np.concatenate(side) >> key for side in (left, right)]
+    who = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    place = [np.arange(len(c)) - s[w] for c, s, w in zip(codes, starts, who, strict=True)]
+    order = np.argsort(codes[0], kind="stable")
+    first, last = np.searchsorted(codes[0][order], codes[1], "left"), np.searchsorted(codes[0][order], codes[1], "right")
+    width = int(sizes[0].max() + sizes[1].max())
+    ends = np.concatenate([[0], np.cumsum(last - first)])[np.concatenate([starts[1], [len(codes[1])]])]  # matches before each of ``right``
+    found, start = [], 0
+    while start < len(right):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + MATCHES, "right")) - 1)
+        a, b = int(starts[1][start]), int(starts[1][end - 1] + sizes[1][end - 1])
+        n = (last - first)[a:b]
+        mine = np.repeat(np.arange(a, b), n)
+        other = order[np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(len(mine))]
+        pair = who[1][mine] * len(left) + who[0][other]
+        keys = np.sort(pair * width + place[0][other] - place[1][mine] + int(sizes[1].max()))
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        found.append(np.unique(keys[new[np.diff(np.append(new, len(keys))) >= least]] // width))
+        start = end
+    return [(int(x) % len(left), int(x) // len(left)) for x in np.concatenate(found)]
+
+
+def align_all(made: DataFrame, key: str) -> DataFrame:
+    """_h (SHA-256 of ``ints``), copy_of (the smallest ``key``) and aligned for each fingerprint that isn't empty.
+
+    ``aligned`` lists copy_of, offset and bit_error of all other fingerprints
+    that align with it, wherever they stand.  Each pair of blocks is a row of
+    its own, so the work is spread; it grows with the square of the number of
+    distinct fingerprints, as pairs do.
+    """
+    distinct = written(made.where(F.length("ints") > 0).groupBy("ints").agg(F.min(key).alias("copy_of")), "distinct")
+    n = -(-(distinct.agg(F.sum(F.length("ints"))).first()[0] or 0) // BLOCK) or 1
+    block = F.pmod(F.xxhash64("ints"), F.lit(n)).alias("block")
+    blocks = written(distinct.groupBy(block).agg(F.collect_list(F.struct("copy_of", "ints")).alias("all")).repartition(min(n, 1000), "block"), "blocks")
+    left, right = (blocks.select(F.col("block").alias(i), F.col("all").alias(side)) for i, side in (("i", "left"), ("j", "right")))
+    kind = made.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i, j, *sides = (batch.column(k)[row].as_py() for k in range(4))
+                ids = [[x["copy_of"] for x in side] for side in sides]
+                ints = [[np.frombuffer(x["ints"], "<u4") for x in side] for side in sides]
+                out = []
+                for a, b in align_blocks(*ints):
+                    if i == j and a >= b:
+                        continue
+                    for mine, other, theirs in ((ints[0][a], ints[1][b], ids[1][b]), (ints[1][b], ints[0][a], ids[0][a])):
+                        out.append((hashlib.sha256(mine.tobytes()).hexdigest(), theirs, *align(mine, other)))
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], batch.schema.field(2).type.value_type.field("copy_of").type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["_h", "copy_of", "offset", "bit_error"])
+
+    found = left.join(right, F.col("i") <= F.col("j")).select("i", "j", "left", "right").mapInArrow(run, f"_h string, copy_of {kind}, offset int, bit_error double")
+    lists = found.groupBy("_h").agg(F.sort_array(F.collect_list(F.struct("copy_of", "offset", "bit_error"))).alias("aligned"))
+    return distinct.select(F.sha2("ints", 256).alias("_h"), "copy_of").join(lists, "_h", "left")
+
+
 def pcm16(value: bytes, rate: int = RATE) -> tuple[np.ndarray, int]:
     """Samples of little-endian 16-bit mono sound; an odd last byte is left out."""
     return np.frombuffer(value[: len(value) // 2 * 2], "<i2") / 32768.0, rate
@@ -184,20 +252,21 @@ def played(vector: list[float | None]) -> tuple[np.ndarray, int]:
 
 
 def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all ``embeddings``, played as sound, each aligned with its successor's.
+    """Fingerprints of all ``embeddings``, played as sound, aligned with all others of the table and with the successor's.
 
     vec_id, n_frames, n_ints, fp_crc32, copy_of (the smallest id with the same
     fingerprint; an empty one is nobody's copy), next_id (vec_id + 1, null if
-    there is none), offset, bit_error.
+    there is none), offset, bit_error (both against next_id), aligned (copy_of,
+    offset and bit_error of every other fingerprint that aligns with this one;
+    empty if none does).
     """
 
     made = written(fingerprints(table(spark, sf_dir, "embeddings"), played, "vec_id", "embedding"), "fingerprints")
     hashed = F.sha2("ints", 256)
-    first = made.where(F.length("ints") > 0).groupBy(hashed.alias("_h")).agg(F.min("vec_id").alias("copy_of"))
     after = made.groupBy((F.col("vec_id") - 1).alias("_before")).agg(F.min("ints").alias("next"))
-    pairs = made.join(after, F.col("vec_id") == F.col("_before"), "left").join(first, hashed == F.col("_h"), "left")
+    pairs = made.join(after, F.col("vec_id") == F.col("_before"), "left").join(align_all(made, "vec_id"), hashed == F.col("_h"), "left")
     done = align_pairs(pairs.drop("_before", "_h"), "ints", "next")
     return done.select(
         "vec_id", "n_frames", F.floor(F.length("ints") / 4).cast("int").alias("n_ints"), F.crc32("ints").alias("fp_crc32"), F.coalesce("copy_of", "vec_id").alias("copy_of"),
-        F.when(F.col("next").isNotNull(), F.col("vec_id") + 1).alias("next_id"), "offset", "bit_error",
+        F.when(F.col("next").isNotNull(), F.col("vec_id") + 1).alias("next_id"), "offset", "bit_error", F.coalesce("aligned", F.array().cast("array<struct<copy_of:bigint,offset:int,bit_error:double>>")).alias("aligned"),
     )
