@@ -151,6 +151,17 @@ def test_scores_are_a_distribution(spark):
     assert 10 ** found[1000] > 0
 
 
+def test_contexts_of_a_large_vocabulary_stay_apart(spark):
+    """30,000 words of two kinds: one always ends its text, the other is always followed by a word."""
+    words = spark.range(30_000).select(F.col("id"), F.concat(F.lit("w"), "id").alias("w"), (F.col("id") % 2 == 0).alias("ends"))
+    train = words.select(F.lit(-1).cast("long").alias("doc_id"), F.when(F.col("ends"), F.col("w")).otherwise(F.concat("w", F.lit(" then"))).alias("text"))
+    held = words.select("id", F.col("w").alias("text")).unionByName(words.select(F.col("id") + 100_000, F.concat("w", F.lit(" then")).alias("text")).toDF("id", "text"))
+    docs = train.unionByName(train).unionByName(held.withColumnRenamed("id", "doc_id"))
+    found = {r.doc_id: r.score for r in context_mixing.score(docs, F.col("doc_id") < 0).where("held_out").collect()}
+    ends = [found[i] - found[100_000 + i] for i in range(30_000)]
+    assert min(ends[::2]) > max(ends[1::2])
+
+
 def test_scores_without_training(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     rows = context_mixing.score(docs, F.lit(False)).collect()

@@ -6,9 +6,8 @@ the unknown one), the middling words, or one of the clusters of common words.
 Within a class a word has its share of the class's smoothed count.
 
 Each decision is predicted by several contexts (none, the previous class, the
-previous word, the last two common words, the two previous words), hashed into
-tables of fixed size that hold how often each bit followed.  The predictions
-are stretched (log odds), mixed by weights that the decision's depth and the
+previous word, the last two frequent words, the two previous words), by how
+often each bit followed.  The predictions are stretched (log odds), mixed by weights that the decision's depth and the
 previous class select (the gate), and squashed.  After each decision the
 weights move along the gradient of the coding cost.  Weights start anew every
 ``SEGMENT`` tokens, so segments are scored side by side; contexts reach across.
@@ -16,9 +15,12 @@ weights move along the gradient of the coding cost.  Weights start anew every
 Clusters are learned too: a common word belongs to the frequent word that it
 most often follows closely, relative to how often that one occurs.
 
-Counts of all training tokens decide what is common, and tables are summed
-over all training tokens; only tables of fixed size reach the driver.  Counts
-of rare words stay a table, which meets the documents' rare words in a join.
+Counts of all training tokens decide what is common.  The contexts of classes
+and frequent words have a place each in a table of fixed size, summed over all
+training tokens, which reaches the driver.  Those of one and two previous words
+are as many as the corpus has: documents are dealt into chunks, each chunk asks
+for its contexts by key, with its own counts, and a shuffle by key sums them
+and answers each chunk.  A word's own count is that of its context.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,14 @@ from tidemark.llm.common import fold, mix, slices, table, text_bytes, word_hashe
 COMMON, CORE, ANCHORS, FREQUENT = 1 << 17, 1 << 13, 16, 256
 DEPTH, NODES = 5, 32
 END, RARE, MIDDLE, FIRST = 0, 1, 2, 3  # classes; clusters begin at FIRST
-CONTEXTS, SLOTS = 5, 1 << 14
+CONTEXTS = 5
+#: Places of the contexts that have one each: none, class and mark, two of the frequent words or none.
+PLACES = (0, 1, 65)
+SLOTS = 65 + (FREQUENT + 1) ** 2
+#: Bits below a context's key in a request: the class that followed, and whether in training.
+_LOW = 6
+#: Bytes of text in a chunk, and training tokens for each part of the keys.
+_CHUNK, _PART = 1 << 22, 1 << 21
 SEGMENT, RATE, START = 256, 0.02, 0.3
 #: Bytes of text that are worked on together; the arrays for them take some sixty times that.
 _SLICE = 1 << 20
@@ -112,18 +122,28 @@ def _last(mark: np.ndarray, values: np.ndarray, tokens: Tokens, none: int) -> np
 
 
 def contexts(tokens: Tokens, places: np.ndarray, classes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """The slot of each context for each token, one row a context."""
-    word = np.where(places >= 0, places, -1 - classes).astype(np.int64)
+    """The slot of each token in the contexts that have a place each, one row a context."""
     rank = np.where(places >= 0, vocabulary.rank[places] if len(vocabulary.rank) else 0, COMMON)
-    previous, previous_class = _before(word, tokens.starts, -99), _before(classes.astype(np.int64), tokens.starts, 31)
+    previous_class = _before(classes.astype(np.int64), tokens.starts, 31)
     frequent = rank < FREQUENT
     last = _last(frequent, rank.astype(np.int64), tokens, FREQUENT)
     # The frequent word before the last one, read at the last one.
     second = _last(frequent, last, tokens, FREQUENT)
-    two = _before(previous, tokens.starts, -99)
-    slot = lambda k, *parts: (mix(np.uint64(k) + sum((mix(p.astype(np.uint64)) * np.uint64(2 * i + 3) for i, p in enumerate(parts)), np.zeros(len(word), np.uint64))) % np.uint64(SLOTS)).astype(np.int64)
+    return np.stack([np.zeros(len(rank), np.int64), PLACES[1] + 2 * previous_class + (last < FREQUENT), PLACES[2] + last * (FREQUENT + 1) + second])
+
+
+def _word_key(hashes: np.ndarray) -> np.ndarray:
+    """Key of the context of one previous word."""
+    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(_LOW)
+
+
+def keys(tokens: Tokens) -> np.ndarray:
+    """Keys of 58 bits of each token's previous word and two previous words, two rows."""
+    none = np.uint64(1)
+    previous = _before(tokens.hashes, tokens.starts, none)
+    two = _before(previous, tokens.starts, none)
     with np.errstate(over="ignore"):
-        return np.stack([np.zeros(len(word), np.int64), slot(1, previous_class, last < FREQUENT), slot(2, previous), slot(3, last, second), slot(4, previous, two)])
+        return np.stack([_word_key(previous), mix(mix(previous) * np.uint64(3) + mix(two) * np.uint64(5)) >> np.uint64(_LOW)])
 
 
 def _paths(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,9 +260,9 @@ def _clusters(training: DataFrame, text: str, vocabulary: Vocabulary) -> Vocabul
 
 
 def _tables(training: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarray:
-    """Stretched predictions (contexts, slots, nodes) from counts over all training tokens."""
+    """Stretched predictions (slots, nodes) of the contexts with a place each, from counts over all training tokens."""
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
-    size = CONTEXTS * SLOTS * NODES
+    size = SLOTS * NODES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(2 * size, np.int64)
@@ -254,14 +274,154 @@ def _tables(training: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarra
             classes = np.where(tokens.is_end, END, shared.value.classes(places))
             slot = contexts(tokens, places, classes, shared.value)
             nodes, bits = _paths(classes)
-            for k in range(CONTEXTS):
+            for k in range(len(slot)):
                 for d in range(DEPTH):
-                    cell = ((k * SLOTS + slot[k]) * NODES + nodes[d]) * 2 + bits[d]
+                    cell = (slot[k] * NODES + nodes[d]) * 2 + bits[d]
                     np.add.at(cells, cell, 1)
         yield _packed("tables", cells, 64)
 
     n = _summed(training.select(text).mapInArrow(run, "part int, places binary, counts binary"), 2 * size, 64).reshape(size, 2)
-    return np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float32).reshape(CONTEXTS, SLOTS, NODES)
+    return np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float32).reshape(SLOTS, NODES)
+
+
+# Contexts by key
+
+
+def _shrunk(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _grown(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes, the first of each number first: sorted or small numbers compress well so."""
+    return _shrunk(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_grown(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _packs(docs: DataFrame, text: str) -> DataFrame:
+    """Documents in chunks: chunk, docs (an Arrow stream); written, so that a chunk keeps its number and rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, _CHUNK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["docs"])
+
+    return written(docs.mapInArrow(run, "docs binary").select(F.monotonically_increasing_id().alias("chunk"), "docs"), "packs")
+
+
+def _opened(pack: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    return iter(pa.ipc.open_stream(pack.as_py()))
+
+
+def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int) -> DataFrame:
+    """chunk, part, and for each key of the chunk in that part, by rising key, the classes that followed in training and how often.
+
+    A part is the keys with the same leading ``bits``.  Keys are hashes and a
+    chunk asks once for a key, so parts are alike in size, whatever is frequent.
+    """
+    shared = packs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asked = []
+                for piece in slices(_opened(batch.column(1)[row]), text, _SLICE):
+                    tokens = Tokens(piece.column(2))
+                    places = np.where(tokens.is_end, -1, shared.value.find(tokens.hashes))
+                    classes = np.where(tokens.is_end, END, shared.value.classes(places)).astype(np.uint64)
+                    training = piece.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)[tokens.owner]
+                    asked.append((keys(tokens) << np.uint64(_LOW) | classes << np.uint64(1) | training).ravel())
+                entries = np.sort(np.concatenate(asked))
+                new = _runs(entries)
+                n, entries = np.diff(np.append(new, len(entries))).astype("<u4"), entries[new]
+                cuts = np.searchsorted(entries >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64)) if bits else np.array([0, len(entries)])
+                rows = [(p, _planes(entries[a:b]), _planes(n[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                chunk = batch.column(0)[row].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary())))], names=["chunk", "part", "entries", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        asked = [_from_planes(x.as_py(), "<u8") for x in group["entries"]]
+        entries, n = np.concatenate(asked), np.concatenate([_from_planes(x.as_py(), "<u4") for x in group["n"]])
+        fine = entries & np.uint64(1) == 1
+        entries, n = entries[fine] >> np.uint64(1), n[fine]
+        order = np.argsort(entries)
+        entries, n = entries[order], n[order]
+        new = _runs(entries)
+        total = np.add.reduceat(n.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+        entries = entries[new]
+        known, classes = entries >> np.uint64(_LOW - 1), (entries & np.uint64(NODES - 1)).astype(np.uint8)
+        first = _runs(known)
+        known, sizes = known[first], np.diff(np.append(first, len(known)))
+        out = []
+        for mine in asked:
+            mine = mine >> np.uint64(_LOW)
+            mine = mine[_runs(mine)]
+            at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+            size = np.where(known[at] == mine, sizes[at], 0) if len(known) else np.zeros(len(mine), np.int64)
+            cells = _spans(first[at], size) if len(known) else np.zeros(0, np.int64)
+            out.append((_shrunk(size.astype(np.uint8).tobytes()), _shrunk(classes[cells].tobytes()), _planes(total[cells].astype("<u8"))))
+        return pa.table({"chunk": group["chunk"].cast(pa.int64()), "part": group["part"].cast(pa.int32())} | {name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("sizes", "classes", "counts"))})
+
+    asked = packs.mapInArrow(ask, "chunk long, part int, entries binary, n binary")
+    return asked.groupBy("part").applyInArrow(add, "chunk long, part int, sizes binary, classes binary, counts binary")
+
+
+class Answer:
+    """What a chunk was answered: for each of its ``keys``, by rising key, classes and counts."""
+
+    def __init__(self, asked: np.ndarray, rows: pa.Table) -> None:
+        asked = np.sort(asked)
+        self.keys = asked[_runs(asked)]
+        rows = rows.sort_by("part")
+        join = lambda name: b"".join(_grown(x.as_py()) for x in rows[name])
+        self.sizes = np.frombuffer(join("sizes"), np.uint8).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.classes = np.frombuffer(join("classes"), np.uint8)
+        self.counts = np.concatenate([np.zeros(0, "<u8"), *(_from_planes(x.as_py(), "<u8") for x in rows["counts"])])
+        self.sums = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
+        if len(self.sizes) != len(self.keys):
+            raise ValueError("a chunk's answers don't fit its keys")
+
+    def totals(self, wanted: np.ndarray) -> np.ndarray:
+        """How often each of ``wanted`` was followed by any token."""
+        at = np.searchsorted(self.keys, wanted)
+        return self.sums[self.starts[at] + self.sizes[at]] - self.sums[self.starts[at]]
+
+    def stretched(self, wanted: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The prediction of each decision (tokens, depth) on the way to ``classes``."""
+        at, back = np.unique(np.searchsorted(self.keys, wanted), return_inverse=True)
+        cells = _spans(self.starts[at], self.sizes[at])
+        below = np.zeros((len(at), NODES + 1))  # counts of all classes below each
+        below[np.repeat(np.arange(len(at)), self.sizes[at]), self.classes[cells] + 1] = self.counts[cells]
+        below = below.cumsum(axis=1).ravel()
+        row = back * (NODES + 1)
+        out = np.empty((len(wanted), DEPTH), np.float32)
+        left, right = 0.0, below[row + NODES]
+        for d in range(DEPTH):
+            middle = below[row + ((classes >> (DEPTH - d) << (DEPTH - d)) + (1 << (DEPTH - 1 - d)))]
+            out[:, d] = np.log((right - middle + 0.4) / (middle - left + 0.4))
+            one = classes >> (DEPTH - 1 - d) & 1 == 1
+            left, right = np.where(one, middle, left), np.where(one, right, middle)
+        return out
 
 
 # Scoring
@@ -287,12 +447,17 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     vocabulary = Vocabulary(hashes[order], n[order], np.argsort(np.argsort(-n, kind="stable"), kind="stable")[order], np.full(len(n), -1), words + documents, types + bool(documents), documents)
     vocabulary = _clusters(training, text, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, _tables(training, text, vocabulary)))
+    packs = _packs(docs, text)
+    answers = _answers(packs, text, vocabulary, max(0, ((words + documents) // _PART).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(pack: pa.Table, answer: pa.Table) -> pa.Table:
         vocabulary, tables = model.value
         masses = vocabulary.masses()
-        for batch in slices(batches, text, 2 * _SLICE):
-            data, _ = text_bytes(batch.column(2))
+        denominator = float(np.log10(vocabulary.tokens + PRIOR * (vocabulary.types + 1)))
+        pieces = list(slices(_opened(pack["docs"][0]), text, _SLICE))
+        answer = Answer(np.concatenate([keys(Tokens(piece.column(2))).ravel() for piece in pieces]), answer)
+        out = []
+        for batch in pieces:
             tokens = Tokens(batch.column(2))
             n = batch.num_rows
             places = np.where(tokens.is_end, -1, vocabulary.find(tokens.hashes))
@@ -300,44 +465,30 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
             slot = contexts(tokens, places, classes, vocabulary)
             nodes, bits = _paths(classes)
             stretched = np.empty((len(classes), DEPTH, CONTEXTS), np.float32)
-            for k in range(CONTEXTS):
+            for k in range(len(slot)):
                 for d in range(DEPTH):
-                    stretched[:, d, k] = tables[k][slot[k], nodes[d]]
+                    stretched[:, d, k] = tables[slot[k], nodes[d]]
+            for k, wanted in enumerate(keys(tokens), len(slot)):
+                stretched[:, :, k] = answer.stretched(wanted, classes)
             gates = (_before(classes, tokens.starts, END) >= MIDDLE).astype(np.int64)
             lengths = tokens.ends - tokens.starts + 1
             cost = mixed_cost(stretched, bits.T, gates, lengths, tokens.starts) / np.log(10)
-            # What a class's words share; rare ones lack their own count yet, the sum of whose logs is joined later.
+            # What a class's words share.
+            times = np.where(tokens.is_end, vocabulary.documents, np.where(places >= 0, vocabulary.counts[places] if len(vocabulary.counts) else 0, 0))
             rare = classes == RARE
-            own = np.log10(np.where(tokens.is_end, vocabulary.documents, np.where(places >= 0, vocabulary.counts[places] if len(vocabulary.counts) else 0, 0)) + PRIOR)
-            own[rare] = 0
-            cost += own - np.log10(masses[classes])
-            total, base = (np.bincount(tokens.owner, x, n) for x in (cost, own))
-            known = np.bincount(tokens.owner, (places >= 0) | tokens.is_end & (vocabulary.documents > 0), n).astype(np.int64)
-            # Distinct rare words of each text.
-            where, what = tokens.owner[rare], tokens.hashes[rare]
-            sort = np.lexsort((what, where))
-            where, what = where[sort], what[sort]
-            new = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (what[1:] != what[:-1])])) if len(where) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(where)))
-            cuts = pa.array(np.searchsorted(where[new], np.arange(n + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (what[new].view(np.int64), times.astype(np.int32))]
+            times[rare] = answer.totals(_word_key(tokens.hashes[rare]))
+            own = np.log10(times + PRIOR)
+            total, base = (np.bincount(tokens.owner, x, n) for x in (cost + own - np.log10(masses[classes]), own - denominator))
+            known = np.bincount(tokens.owner, times > 0, n).astype(np.int64)
             size = np.diff(text_bytes(batch.column(2))[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(total), pa.array(size, pa.int64()), *lists], names=[key, "_training", "n_tokens", "known", "base", "total", "size", "rare", "times"])
+            rate = pa.array(-total / np.log10(2) / np.maximum(size, 1), mask=size == 0)
+            out.append(pa.RecordBatch.from_arrays([batch.column(0), pa.compute.invert(batch.column(1)), pa.array(lengths, pa.int64()), pa.array(known), pa.array(np.full(n, vocabulary.tokens, np.int64)), pa.array(base), pa.array(total), rate], names=names))
+        return pa.Table.from_batches(out)
 
+    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.mapInArrow(run, f"`{key}` {kind}, _training boolean, n_tokens long, known long, base double, total double, size long, rare array<long>, times array<int>")
-    scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
-    rare = rare.join(counts, "h", "left")
-    rare = rare.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + PRIOR)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
-    out = scored.drop("rare", "times").join(rare, "_row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    denominator = float(np.log10(vocabulary.tokens + PRIOR * (vocabulary.types + 1)))
-    total = F.col("total") + more
-    return out.select(
-        key, (~F.col("_training")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * denominator).alias("base_score"), total.alias("score"), F.when(F.col("size") > 0, -total / float(np.log10(2)) / F.col("size")).alias("bits_per_byte"),
-    )
+    schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
