@@ -33,10 +33,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, 0.8 or more in common)."""
-    found = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The document with the smallest id of each group of near copies (five-word shingles, 0.8 or more in common).
+
+    A document is an id with a text: rows that share an id but not the text are
+    documents of their own, as are rows without an id, which come after all ids
+    in a group.  Rows with the same id and text are one document.  A row without
+    words is nobody's copy and stays.
+    """
+    identity = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("text"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = docs.where(worded).withColumn("_identity", identity)
+    found = jaccard_join.jaccard_components(named, n=5, percent=80, key="_identity")
+    first = found.where(F.col("_identity") == F.col("component_id")).select("_identity").distinct()
+    return named.join(first, "_identity").dropDuplicates(["_identity"]).select(docs.columns).unionByName(docs.where(~worded))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,6 +196,15 @@ def test_pipeline(spark):
     assert stage.columns == columns
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " more"), (None, c), (None, d), (None, b), (3, d), (4, ""), (None, None), (None, None), (5, c[:60]), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(found, key=order) == sorted([(1, a), (1, b), (None, c), (3, d), (4, ""), (None, None), (None, None), (5, c[:60])], key=order)
+
+
 @pytest.mark.parametrize("tokens", [1, 64])
 def test_capacities(tokens):
     assert packing.Capacities(tokens).vector().tolist() == [tokens, tokens, tokens**2]
