@@ -7,7 +7,7 @@ as Parquet and read again as the next one's ``docs``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, language_id, packing, toxicity
@@ -17,19 +17,25 @@ from tidemark.llm.common import fold, table, written
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, str, list[Column]]:
+    """``docs`` under names that no operator adds, the text's name among them, and the columns under their own names again."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")], [F.col(x).alias(name) for x, name in zip(names, docs.columns, strict=True)]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in one of the languages that ``docs`` names; the others go."""
-    columns = docs.columns
     profiles = language_id.learn(docs.where(~F.coalesce(fold("doc_id", 5) == 0, F.lit(False))))
-    found = language_id.identify(docs, profiles)
+    aside, text, columns = _set_aside(docs)
+    found = language_id.identify(aside, profiles, text)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic."""
-    columns = docs.columns
+    aside, text, columns = _set_aside(docs)
     labels = table(spark, sf_dir, "labels").where(~F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
-    return toxicity.score(docs, toxicity.learn(docs, labels)).where("predicted = 0").select(columns)
+    return toxicity.score(aside, toxicity.learn(docs, labels), text).where("predicted = 0").select(columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     identity = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("text"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    named = docs.where(worded).withColumn("_identity", identity)
-    found = jaccard_join.jaccard_components(named, n=5, percent=80, key="_identity")
+    named = docs.where(worded).select(identity.alias("_identity"), F.struct("*").alias("_row"))
+    found = jaccard_join.jaccard_components(named.select("_identity", "_row.text"), n=5, percent=80, key="_identity")
     first = found.where(F.col("_identity") == F.col("component_id")).select("_identity").distinct()
-    return named.join(first, "_identity").dropDuplicates(["_identity"]).select(docs.columns).unionByName(docs.where(~worded))
+    return named.join(first, "_identity").dropDuplicates(["_identity"]).select("_row.*").unionByName(docs.where(~worded))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

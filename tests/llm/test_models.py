@@ -205,6 +205,15 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     assert sorted(found, key=order) == sorted([(1, a), (1, b), (None, c), (3, d), (4, ""), (None, None), (None, None), (5, c[:60])], key=order)
 
 
+def test_stages_hand_columns_on_unchanged(spark):
+    docs = table(spark, SF, "documents").withColumns({"score": F.lit(7.5), "lang_pred": F.lit("mine"), "Predicted": F.lit("own"), "_identity": F.lit(1)})
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_toxic, corpus_pipeline.one_of_each_group):
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        rows = found.select("score", "lang_pred", "Predicted", "_identity").distinct().collect()
+        assert [tuple(r) for r in rows] == [(7.5, "mine", "own", 1)]
+
+
 @pytest.mark.parametrize("tokens", [1, 64])
 def test_capacities(tokens):
     assert packing.Capacities(tokens).vector().tolist() == [tokens, tokens, tokens**2]
