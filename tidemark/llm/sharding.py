@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import plus, table, written
@@ -78,19 +78,27 @@ def offsets(places: DataFrame) -> DataFrame:
     return counts.join(blocks, "_block").select("_bucket", (F.col("_inside") + F.col("_base")).alias("_start"))
 
 
-def shard(rows: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``rows`` and shard int, slot long (gapless from 0 in each shard).
+def shuffled(rows: DataFrame, seed: int, bucket_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The shuffled records, written to shared storage once: all columns and ``_bucket``, ``_place``."""
+    return written(shuffle(rows, seed, bucket_bytes, key, text), "shuffled")
 
-    The shuffled records are written to shared storage once; offsets come from
-    counts of it.  Columns with these names are replaced.  An empty table gives
-    an empty one.
-    """
-    done = written(shuffle(rows.drop("shard", "slot"), seed, bucket_bytes, key, text), "shuffled")
+
+def cut(done: DataFrame, shards: int, columns: list[Column | str]) -> DataFrame:
+    """``columns`` of shuffled records and shard int, slot long; nothing but ``columns`` meets the offsets."""
     total = done.count()
     number = F.expr(f"cast((cast(_start + _place as decimal(20,0)) * {shards}) div {max(total, 1)} as int)")
     first = F.expr(f"cast((cast(shard as decimal(20,0)) * {total} + {shards - 1}) div {shards} as long)")
-    placed = done.join(offsets(done), "_bucket").withColumn("shard", number)
-    return placed.withColumn("slot", F.col("_start") + F.col("_place") - first).drop("_bucket", "_place", "_start")
+    placed = done.select(F.struct(*columns).alias("_row"), "_bucket", "_place").join(offsets(done), "_bucket").withColumn("shard", number)
+    return placed.select("_row.*", "shard", (F.col("_start") + F.col("_place") - first).alias("slot"))
+
+
+def shard(rows: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``rows`` and shard int, slot long (gapless from 0 in each shard).
+
+    Columns with these names are replaced.  An empty table gives an empty one.
+    """
+    rows = rows.drop("shard", "slot")
+    return cut(shuffled(rows, seed, bucket_bytes, key, text), shards, [x for x in rows.columns if x not in ("_bucket", "_place")])
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, **options) -> None:
@@ -101,9 +109,7 @@ def write_shards(rows: DataFrame, path: str, shards: int, **options) -> None:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 8 and its slot, by the law ``rows``.  Copies are records of their own, wherever they land."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = shard(docs, 8, seed=20)
-    return done.select(
-        "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    done = shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=20)
+    text = F.coalesce("text", F.lit(""))
+    digests = ["doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    return cut(done, 8, digests).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
