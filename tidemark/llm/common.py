@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,18 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as the function of a task that gives its memory back to the system when it ends, as worker processes live on."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def plus(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of ``df`` and more columns, by name and type."""
     return T.StructType([*df.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items())])
@@ -92,11 +105,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             start = end
 
 
-def _odd_powers(n: int, base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]), dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer; every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
@@ -105,12 +113,11 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2**64
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +125,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
     A word is a longest run without the bytes 20 and 09 to 0D; A-Z count as
     a-z.  All of it runs over whole arrays; a word's hash depends on its bytes
-    alone.  Two different words share a hash with probability 2**-64.
+    alone: its blocks of eight bytes are mixed, each with its number, and
+    summed, and the sum is mixed with the length.  Words of up to eight bytes
+    and the same length never share a hash; others do by chance, about once in
+    2**64 pairs, unless they are made to.
     """
     n = len(data)
     if not n:
@@ -128,23 +138,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[offsets] = True  # a word ends with its text
     starts = np.flatnonzero(word & np.concatenate([[True], ~word[:-1] | first[1:n]]))
     ends = np.flatnonzero(word & np.concatenate([~word[1:] | first[1:n], [True]])) + 1
+    cuts = np.searchsorted(starts, offsets).astype(np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), cuts
+    lower = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    lengths = ends - starts
+    blocks = (lengths + 7) >> 3
+    begin = np.cumsum(blocks) - blocks
+    number = np.arange(len(begin) and int(begin[-1] + blocks[-1])) - np.repeat(begin, blocks)
+    at = np.repeat(starts, blocks) + 8 * number
+    left = np.minimum(np.repeat(ends, blocks) - at, 8).astype(np.uint64)
+    value = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        value |= lower[at + k].astype(np.uint64) << np.uint64(8 * k)
     with np.errstate(over="ignore"):
-        lengths = ends - starts
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data]] * _powers(n), dtype=np.uint64)])
-        hashes = (total[ends] - total[starts]) * _inverse_powers(n)[starts]
-        return mix(hashes ^ (lengths.astype(np.uint64) << np.uint64(48))), np.searchsorted(starts, offsets).astype(np.int64)
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> np.ndarray:
-    if len(_TABLES.get("up", ())) < n:
-        _TABLES["up"] = _odd_powers(max(n, 1 << 20), _BASE)
-    return _TABLES["up"][:n]
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    if len(_TABLES.get("down", ())) < n:
-        _TABLES["down"] = _odd_powers(max(n, 1 << 20), pow(_BASE, -1, 1 << 64))
-    return _TABLES["down"][:n]
+        value &= ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left)
+        number = number.astype(np.uint64)
+        mixed = mix(value + (number + np.uint64(1)) * _STEP) ^ number
+        total = mixed if len(at) == len(starts) else np.add.reduceat(mixed, begin)
+        return mix(total + lengths.astype(np.uint64) * _STEP), cuts

@@ -53,6 +53,11 @@ class PreTokens:
     def __init__(self, narrow: re.Pattern[str], pattern: str) -> None:
         self.narrow, self.wide = narrow.findall, regex.compile(pattern).findall
 
+    @staticmethod
+    def agreed(text: str) -> bool:
+        """Whether all engines split the text alike."""
+        return text.isascii() or bool(NARROW.fullmatch(text)) or bool(AGREED.fullmatch(text))
+
     def cut(self, text: str) -> list[str] | None:
         if text.isascii() or NARROW.fullmatch(text):
             return self.narrow(text)
