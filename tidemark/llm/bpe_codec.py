@@ -17,13 +17,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import released, slices, table
 from tidemark.llm.pretokens import Cache, PreTokens, byte_level_narrow
 
 
@@ -61,6 +62,7 @@ class ByteCodec:
     """Encodes pre-tokens and decodes ids; one per worker process."""
 
     def __init__(self, model: str, pattern: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -154,7 +156,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, starts], names=[*batch.schema.names, "ids", "starts"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -169,7 +171,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
             out = pa.array([None if r is None else codec.decode(r) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(released(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,7 +194,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import slices, table, text_bytes
+from tidemark.llm.common import released, slices, table, text_bytes
 from tidemark.llm.pretokens import Cache, PreTokens, lower_words_narrow
 
 #: Characters of a text beyond which it is counted in chunks, and characters of a chunk.
@@ -301,7 +301,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
