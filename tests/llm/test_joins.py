@@ -52,6 +52,18 @@ def test_word_hashes():
     assert sliced.tolist() == hashes[3:6].tolist() and cut.tolist() == [0, 3]
 
 
+def test_words_of_one_kind_do_not_collide():
+    """Thue-Morse words, which any polynomial modulo 2**64 confuses, and words that differ in one byte or in length only."""
+    left, right = "a", "b"
+    while len(left) < 2048:
+        left, right = left + right, right + left
+        found, _ = word_hashes(*text_bytes(pa.array([left, right])))
+        assert found[0] != found[1]
+    words = [*("x" * n for n in range(1, 70)), *("x" * k + "y" + "x" * (40 - k) for k in range(41)), "ab\x00", "ab", "\x00"]
+    assert len({*word_hashes(*text_bytes(pa.array(words)))[0].tolist()}) == len(words)
+    assert word_hashes(*text_bytes(pa.array([" ".join(words)])))[0].tolist() == word_hashes(*text_bytes(pa.array(words)))[0].tolist()
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 100)])
 def test_jaccard_components(spark, n, percent):
     rng = random.Random(n)
@@ -71,6 +83,37 @@ def test_jaccard_components(spark, n, percent):
     assert len(got) == len(rows)
 
 
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """Long lists, cut into blocks of few classes: near copies of one text, of which only a part is linked directly."""
+    monkeypatch.setattr(jaccard_join, "LONG", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "_CELLS", 64)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for key in range(120):
+        words = base[: rng.choice([150, 155, 160])]
+        for _ in range(rng.choice([0, 1, 3, 4, 5, 6])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        rows.append((key, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()))
+    assert got == brute(rows, 4, 85) and 10 < len({r[2] for r in got}) < 110
+
+
+def test_sketches_never_lose_a_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 3000):
+        for _ in range(30):
+            a = rng.integers(0, 2**64, n, np.uint64)
+            b = np.unique(np.concatenate([a[rng.random(n) < rng.choice([0.8, 0.9, 1.0])], rng.integers(0, 2**64, rng.integers(0, max(2, n // 10)), np.uint64)]))
+            if not len(b):
+                continue
+            common = len(np.intersect1d(a, b))
+            close = jaccard_join._close([jaccard_join.sketch(a).tobytes()], [jaccard_join.sketch(b).tobytes()], np.array([n + len(b)]), 85)[0]
+            assert close or 100 * common < 85 * (n + len(b) - common)
+
+
 def test_jaccard_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(empty).collect() == []

@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     every node hangs to its root; the number of rounds grows with the logarithm
     of the number of nodes.  Each round is a few joins on keys and its edges
     are written to shared storage; nothing but a count comes to the driver.
-    Nodes can be of any type that has an order.
+    Nodes can be of any type that has an order.  The result reads a stored
+    table, which ``drop_written`` deletes.
     """
     edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(edges)
@@ -39,4 +40,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._written_to = edges._written_to
+    return out
