@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from tidemark.config import StoreConfig
-from tidemark.errors import CapacityError, InvalidError, NotFoundError, SerializationError
+from tidemark.errors import CapacityError, ConflictError, InvalidError, NotFoundError, SerializationError
 from tidemark.operators import frames as ops
 from tidemark.plans.store import Append, Request, VersionedStore
 from tidemark.sources import frame_codec as codec
@@ -138,7 +138,7 @@ def test_ttl_is_lazy_and_inclusive(store, rows):
     assert values(store.get(1, 2, 1)) == [(2,)]
     store.compact_range(1, now_ms=1000, ttl_ms=100)
     assert sorted(r.uid for r in store.frames(1).collect()) == [1, 3]
-    store.vacuum()
+    store.vacuum(older_than_ms=0)
     assert values(store.get(1, 1, 1)) == [(1,)]
     with pytest.raises(NotFoundError):
         store.compact_range(8)
@@ -201,6 +201,57 @@ def test_concurrent_appends(store, rows):
     assert len(set(commits)) == 8 and store.frames(1).count() == 8
 
 
+def test_overlapping_compactions_publish_once(store, rows, monkeypatch):
+    store.register_schema(1, 1, A)
+    for at in (10, 20):
+        store.append(1, 1, rows((1, at), (2, at)), now_ms=at)
+    stale, newest = store.snapshot(), type(store).snapshot
+    store.compact_range(1, now_ms=30, ttl_ms=1000, force_bottommost=True)
+    store.append(1, 1, rows((3, 3)), now_ms=40)
+    answers = [stale]
+    monkeypatch.setattr(type(store), "snapshot", lambda self: answers.pop() if answers else newest(self))
+    with pytest.raises(ConflictError):
+        store.compact_range(1, now_ms=30, ttl_ms=1000, force_bottommost=True)
+    assert sorted((r.uid, r["__timestamp"]) for r in store.frames(1).collect()) == [(1, 10), (1, 20), (2, 10), (2, 20), (3, 40)]
+    answers.append(stale)
+    store.vacuum()
+    assert store.frames(1).count() == 5
+
+
+def test_changes_from_a_stale_state(store, monkeypatch):
+    stale, newest = store.snapshot(), type(store).snapshot
+    store.register_schema(1, 1, A)
+    answers = [stale]
+    monkeypatch.setattr(type(store), "snapshot", lambda self: answers.pop() if answers else newest(self))
+    with pytest.raises(InvalidError):
+        store.register_schema(1, 1, AB)  # seemed to be free
+    assert store.snapshot().registry.get(1, 1) == A
+    answers.append(newest(store))
+    store.drop_table(1)
+    with pytest.raises(NotFoundError):
+        store.drop_table(1)
+
+
+def test_concurrent_registration(store):
+    def attempt(version: int) -> bool:
+        try:
+            store.register_schema(1, version, T.StructType.fromDDL("a long"))
+        except InvalidError:
+            return False
+        return True
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(attempt, [1] * 6)) == 1
+
+
+def test_a_batch_is_appended_once(store, rows):
+    store.register_schema(1, 1, A)
+    for number in (0, 1, 1, 0):
+        store.append(1, 1, rows((number, 5)), now_ms=number, batch=("here", number))
+    store.append(1, 1, rows((9, 5)), now_ms=9, batch=("there", 0))
+    assert sorted(r.uid for r in store.frames(1).collect()) == [0, 1, 9]
+
+
 def test_import_and_export_of_bytes(spark):
     one = lambda x, version, at: codec.encode(pa.RecordBatch.from_pydict({"a": pa.array([x], pa.int64())}), version, at)
     bad = one(3, 1, 30)
@@ -231,3 +282,8 @@ def test_plans(spark, store, rows):
     assert "EqualTo(uid,1)" in plan
     scanned = rows_of(store.frames(1, 2), ["b"])._jdf.queryExecution().executedPlan().toString()
     assert "payload:array<struct<b:int>>" in scanned and "a:bigint" not in scanned
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    latest = store.latest(1, 2, ["b"])
+    scanned = latest._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "payload:array<struct<b:int>>" in scanned and "a:bigint" not in scanned and values(latest) == [(1, 2)]

@@ -30,6 +30,12 @@ class CapacityError(StoreError):
     code = "CapacityError"
 
 
+class ConflictError(StoreError):
+    """Another writer has changed what this one had read; nothing was published."""
+
+    code = "Conflict"
+
+
 class SerializationError(StoreError):
     """Frames exist but none of them is valid."""
 

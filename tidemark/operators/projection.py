@@ -34,6 +34,15 @@ def is_identity(fields: T.StructType, columns: list[str] | tuple[str, ...]) -> b
     return not columns or list(columns) == list(fields.names)
 
 
+def narrowed(frames: DataFrame, fields: T.StructType, columns: list[str] | tuple[str, ...]) -> DataFrame:
+    """Frames whose nested rows have only ``columns``; written so that the others aren't read at all."""
+    kept = T.StructType([fields[name] for name in dict.fromkeys(columns)])
+    if len(kept) == len(fields):
+        return frames
+    rows = F.arrays_zip(*(F.col("payload")[f.name] for f in kept.fields)).cast(T.ArrayType(kept))
+    return frames.withColumn("payload", rows)
+
+
 def align(rows: DataFrame, target: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows in a version's columns: by name, absent ones null, others dropped."""
     there = set(rows.columns)

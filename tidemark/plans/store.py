@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
@@ -12,14 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import StoreConfig
-from tidemark.errors import CapacityError, InvalidError, NotFoundError, SerializationError, StoreError
+from tidemark.errors import CapacityError, ConflictError, InvalidError, NotFoundError, SerializationError, StoreError
 from tidemark.functions.metrics import Metrics
 from tidemark.functions.schemas import SchemaRegistry, bare, check_id
 from tidemark.operators import frames as ops
-from tidemark.operators.projection import check_types, is_identity, resolve
+from tidemark.operators.projection import check_types, is_identity, narrowed, resolve
 from tidemark.sources.commit_log import CommitLog
 from tidemark.sources.frames import frame_schema, read_frames, rows_of
 
+_LOGGER = logging.getLogger(__name__)
+
 #: Commit numbers stand above so many bits of ``__seq``; the place in a commit below.
 _PLACE_BITS = 32
 _MAX_UID = (1 << 63) - 1
@@ -45,6 +48,9 @@ class Snapshot:
     registry: SchemaRegistry = field(default_factory=SchemaRegistry)
     generation: dict[int, int] = field(default_factory=dict)
     files: dict[int, dict[str, DataFile]] = field(default_factory=dict)
+    #: How many changes were published, and the last batch of each stream.
+    changes: int = 0
+    batches: dict[str, int] = field(default_factory=dict)
 
     @property
     def tables(self) -> list[int]:
@@ -125,9 +131,10 @@ class VersionedStore:
         """The state after all published commits."""
         self._ready()
         out = Snapshot()
-        for commit, action in self.log.actions():
+        commits, out.changes = self.log.commits()
+        for commit, action in ((commit, action) for commit, actions in commits for action in actions):
             out.commit = commit
-            kind, table = action["kind"], action["table"]
+            kind, table = action["kind"], action.get("table")
             if kind == "schema":
                 out.registry.schemas.setdefault(table, {})[action["version"]] = T.StructType.fromJson(action["schema"])
                 out.files.setdefault(table, {})
@@ -137,6 +144,8 @@ class VersionedStore:
                     out.files[table][action["path"]] = DataFile(action["path"], action["version"], action["min_uid"], action["max_uid"], action["n"], action["has_put"])
             elif kind == "remove":
                 out.files.get(table, {}).pop(action["path"], None)
+            elif kind == "batch":
+                out.batches[action["stream"]] = max(action["id"], out.batches.get(action["stream"], -1))
             elif kind == "drop":
                 out.registry.unregister(table)
                 out.files.pop(table, None)
@@ -148,21 +157,34 @@ class VersionedStore:
 
     def _remove_orphans(self) -> None:
         """Delete generations of tables that no commit refers to."""
+        # Listed first: a table's commit is older than its folder, so the log knows all that are in use.
+        there = [(name, generation) for name in self.log.folders(f"{self.root}/tables") for generation in self.log.folders(f"{self.root}/tables/{name}")]
         now = self.snapshot()
-        for name in self.log.folders(f"{self.root}/tables"):
-            for generation in self.log.folders(f"{self.root}/tables/{name}"):
-                if not name.startswith("t_") or int(name[2:]) not in now.files or generation != f"g{now.generation[int(name[2:])]}":
-                    self.log.delete(f"{self.root}/tables/{name}/{generation}")
+        for name, generation in there:
+            if not name.startswith("t_") or int(name[2:]) not in now.files or generation != f"g{now.generation[int(name[2:])]}":
+                _LOGGER.info("removing %s/%s, which no commit refers to", name, generation)
+                self.log.delete(f"{self.root}/tables/{name}/{generation}")
+
+    def _change(self, actions: Callable[[Snapshot], list[dict]]) -> Snapshot:
+        """Publish ``actions(now)``, made anew from the newest state until no other change has come in between; that state."""
+        while True:
+            now = self.snapshot()
+            if self.log.publish_change(now.changes, actions(now)) is not None:
+                return now
+            _LOGGER.info("another change was published first; checking again")
 
     # Schemas
 
     def register_schema(self, table: int, version: int, schema: T.StructType) -> None:
         """Add a version; the first one creates the table.  Nothing is written unless all checks hold."""
-        now = self.snapshot()
-        now.registry.check(table, version, schema)
-        if table not in now.files and len(now.files) >= self.config.max_column_families:
-            raise CapacityError(f"there are {len(now.files)} tables already")
-        self.log.publish(self.log.claim(), [{"kind": "schema", "table": table, "version": version, "schema": schema.jsonValue()}])
+
+        def actions(now: Snapshot) -> list[dict]:
+            now.registry.check(table, version, schema)
+            if table not in now.files and len(now.files) >= self.config.max_column_families:
+                raise CapacityError(f"there are {len(now.files)} tables already")
+            return [{"kind": "schema", "table": table, "version": version, "schema": schema.jsonValue()}]
+
+        now = self._change(actions)
         self.metrics.set("active_tables", len(now.files) + (table not in now.files))
 
     def schemas(self) -> DataFrame:
@@ -235,11 +257,11 @@ class VersionedStore:
             return rows.withColumn("__place", F.row_number().over(Window.partitionBy("uid").orderBy(*order)) - 1), F.col("__place")
         return rows, F.lit(0)
 
-    def _store(self, items: Iterable[tuple[Append, Column]], op: str, order: list[str] = ()) -> int:
+    def _store(self, items: Iterable[tuple[Append, Column]], op: str, order: list[str] = (), batch: tuple[str, int] | None = None) -> int:
         began = time.time()
         now = self.snapshot()
         items = list(items)
-        if not items:
+        if not items or batch and now.batches.get(batch[0], -1) >= batch[1]:
             return now.commit
         for item, _ in items:
             if item.frames is None:
@@ -269,21 +291,23 @@ class VersionedStore:
                 self.log.delete(f"{self.root}/{action['path']}")
             raise
         if actions:
-            self.log.publish(commit, actions)
+            self.log.publish(commit, actions + ([{"kind": "batch", "stream": batch[0], "id": batch[1]}] if batch else []))
         for action in actions:
             self.metrics.add("feature_append_total", action["table"], action["n"])
         self.metrics.observe("append_latency_us", (time.time() - began) * 1e6)
         return commit
 
-    def append(self, table: int, version: int, rows: DataFrame, now_ms: int | None = None, order_by: Iterable[str] = ()) -> int:
+    def append(self, table: int, version: int, rows: DataFrame, now_ms: int | None = None, order_by: Iterable[str] = (), batch: tuple[str, int] | None = None) -> int:
         """Append frames with the time ``now_ms``, or their own ``__timestamp``; the commit's number.
 
         ``rows`` has uid and the version's fields, a frame for each row; or uid
         and ``payload``, an array of rows.  If an entity has several frames,
         ``order_by`` (or a column ``__place``) says in what order they arrive.
+        ``batch``, a stream's name and the batch's number there, is recorded with
+        the commit; a batch up to the last one recorded is not appended again.
         """
         stamp = F.col("__timestamp") if "__timestamp" in rows.columns else F.lit(_now(now_ms))
-        return self._store([(Append(table, version, rows), stamp)], "APPEND", list(order_by))
+        return self._store([(Append(table, version, rows), stamp)], "APPEND", list(order_by), batch)
 
     def put(self, table: int, version: int, rows: DataFrame, timestamp_ms: int | None = None, order_by: Iterable[str] = ()) -> int:
         """Replace all frames of the rows' entities; times as given by the caller."""
@@ -328,7 +352,7 @@ class VersionedStore:
         now = self.snapshot()
         fields = self._known(now, table, version)
         wanted = resolve(fields, list(columns))
-        return rows_of(ops.latest(self._visible(now, table, fields)), wanted)
+        return rows_of(ops.latest(narrowed(self._visible(now, table, fields), fields, wanted)), wanted)
 
     def get(self, table: int, uid: int, version: int, columns: Iterable[str] = ()) -> DataFrame:
         """The rows of an entity's latest valid frame, in the version's columns or those asked for.
@@ -453,7 +477,9 @@ class VersionedStore:
         The range holds for one table only.  Files outside of it are kept as
         they are; the others are rewritten, each version's frames by themselves,
         and one commit swaps them.  ``force_bottommost`` rewrites them also if
-        nothing would go.
+        nothing would go.  If the table is compacted or dropped by others before
+        that commit, nothing changes and ``ConflictError`` is raised; appends
+        may go on meanwhile.
         """
         now = self.snapshot()
         if table is None:
@@ -476,28 +502,48 @@ class VersionedStore:
             keys = kept.where(F.col("__schema_version") == version).select(F.col("uid").alias("__u"), F.col("__seq").alias("__s"))
             frames = own.join(keys, (F.col("uid") == F.col("__u")) & (F.col("__seq") == F.col("__s")), "left_semi")
             actions += self._write(now, table, version, commit, frames, number)
-        self.log.publish(commit, [{"kind": "remove", "table": table, "path": f.path} for f in files] + actions)
+        def swap(newest: Snapshot) -> list[dict]:
+            if newest.generation.get(table) != now.generation[table] or any(f.path not in newest.files.get(table, {}) for f in files):
+                raise ConflictError(f"table {table} was compacted or dropped meanwhile")
+            return [{"kind": "remove", "table": table, "path": f.path} for f in files] + actions
+
+        try:
+            self._change(swap)
+        except ConflictError:
+            _LOGGER.warning("compaction of table %d gives way to another change", table)
+            for action in actions:
+                self.log.delete(f"{self.root}/{action['path']}")
+            raise
+        _LOGGER.info("compacted table %d: %d frames of %d stay", table, after[0], before[0])
         self.metrics.add("ttl_expired_frames_total", table, before[0] - after[0])
         self.metrics.add("ttl_expired_keys_total", table, before[1] - after[1])
         return None
 
-    def vacuum(self) -> None:
-        """Delete files that commits have removed; readers of older snapshots must be done."""
+    def vacuum(self, older_than_ms: int = 86_400_000) -> None:
+        """Delete files that commits have removed; readers of older snapshots must be done.
+
+        Files changed within ``older_than_ms`` stay, as commits that aren't
+        published yet may be writing them.
+        """
         now = self.snapshot()
         for table in now.tables:
             folder = self._folder(table, now.generation[table])
             known = {f.path for f in now.files[table].values()}
             for name in self.log.folders(f"{self.root}/{folder}"):
-                if f"{folder}/{name}" not in known:
+                if f"{folder}/{name}" not in known and self.log.age_ms(f"{self.root}/{folder}/{name}") >= older_than_ms:
+                    _LOGGER.info("vacuum removes %s/%s", folder, name)
                     self.log.delete(f"{self.root}/{folder}/{name}")
 
     # Leaving
 
     def drop_table(self, table: int) -> None:
         """Forget a table, its versions and its frames; its number may be used again."""
-        now = self.snapshot()
-        self._known(now, table)
-        self.log.publish(self.log.claim(), [{"kind": "drop", "table": table}])
+
+        def actions(now: Snapshot) -> list[dict]:
+            self._known(now, table)
+            return [{"kind": "drop", "table": table}]
+
+        now = self._change(actions)
         self.log.delete(f"{self.root}/{self._folder(table, now.generation[table])}")
         self.metrics.set("active_tables", len(now.files) - 1)
         self.metrics.move("dropped_tables_total", 1)

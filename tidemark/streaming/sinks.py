@@ -15,12 +15,12 @@ from tidemark.plans.store import VersionedStore
 def append_sink(stream: DataFrame, store: VersionedStore, table: int, version: int, checkpoint: str, order_by: tuple[str, ...] = ()) -> DataStreamWriter:
     """A writer that appends each micro-batch in one commit.
 
-    A batch that is run again after a failure is appended again, as appends are
-    blind; the latest frame is the same then.
+    Its number is recorded with the commit under the checkpoint's name, so a
+    batch that is run again after a failure isn't appended again.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.append(table, version, batch, order_by=order_by)
+    def write(batch: DataFrame, number: int) -> None:
+        store.append(table, version, batch, order_by=order_by, batch=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
