@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, plus, slices, table
+from tidemark.llm.common import drop_written, fold, plus, released, slices, table, written
 from tidemark.llm.pretokens import Cache
 
 #: Labelled documents that the model learns from, about (the bound of the training sample).
@@ -215,9 +215,10 @@ def _lexicons(rows: DataFrame, text: str) -> list[Lexicon]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([2 * k[1] + k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["key", "kind", "n"])
 
     total = {(r[0], r[1]): r[2] for r in rows.groupBy("_half", "_label").count().collect()}
-    counted = rows.select("_half", "_label", text).mapInArrow(count, "key string, kind int, n long")
+    counted = rows.select("_half", "_label", text).mapInArrow(released(count), "key string, kind int, n long")
     of = lambda half, label: F.sum(F.when(F.col("kind") == 2 * half + label, F.col("n")).otherwise(0))
     sums = counted.groupBy("key").agg(*(of(h, l).alias(f"n{h}{l}") for h in (0, 1) for l in (0, 1)))  # noqa: E741
+    sums = written(sums.where(F.col("n01") + F.col("n11") >= FEWEST), "lexicon")  # read three times
     out = []
     for halves in ((0,), (1,), (0, 1)):
         bad, fine = (sum(F.col(f"n{h}{label}") for h in halves) for label in (1, 0))
@@ -228,6 +229,7 @@ def _lexicons(rows: DataFrame, text: str) -> list[Lexicon]:
         best = sums.select("key", odds.alias("odds"), rank.alias("rank"), bad.alias("bad")).where((F.col("bad") >= FEWEST) & (F.col("rank") >= 2.0))
         found = best.orderBy(F.desc("rank"), F.desc("bad"), "key").limit(LEXICON).collect()
         out.append(Lexicon({r["key"]: float(r["odds"]) for r in found}))
+    drop_written(sums)
     return out
 
 
@@ -256,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 x = [features(t, shared.value[1 - h]) for h, t in zip(halves, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(halves, pa.int32()), pa.array(labels_, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["half", "label", "x"])
 
-        found = sorted(map(tuple, rows.mapInArrow(measure, "half int, label int, x array<double>").collect()))
+        found = sorted(map(tuple, rows.mapInArrow(released(measure), "half int, label int, x array<double>").collect()))
     finally:
         rows.unpersist()
     half, y = np.array([r[0] for r in found]), np.array([r[1] for r in found], float)
@@ -281,7 +283,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = shared.value.score(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, plus(docs, score="double", predicted="int"))
+    return docs.mapInArrow(released(run), plus(docs, score="double", predicted="int"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
