@@ -124,17 +124,29 @@ def test_toxicity_without_labels(spark):
 
 def test_mixing_of_one_text_is_the_plain_loop():
     rng = np.random.default_rng(2)
-    n = 600
-    x, bits, gates = rng.normal(size=(n, 5, 3)).astype(np.float32), rng.integers(0, 2, (n, 5)), rng.integers(0, 2, n)
+    n = 2 * context_mixing.SEGMENT + 100
+    x, bits, gates = rng.normal(size=(n, 5, 3)).astype(np.float32), rng.integers(0, 2, (n, 5)), rng.integers(0, context_mixing.GATES, n)
     got = context_mixing.mixed_cost(x, bits, gates, np.array([n]), np.array([0]))
     for t in range(n):
         if t % context_mixing.SEGMENT == 0:
-            w = np.full((2, 5, 3), context_mixing.START, np.float32)
+            w = np.full((context_mixing.GATES, 5, 3), context_mixing.START, np.float32)
         p = 1 / (1 + np.exp(-(w[gates[t]] * x[t]).sum(axis=1)))
         assert math.isclose(got[t], np.log(np.where(bits[t] == 1, p, 1 - p)).sum(), rel_tol=1e-4)
         w[gates[t]] += context_mixing.RATE * (bits[t] - p)[:, None] * x[t]
 
 
+def test_predictions_are_those_of_plain_counts():
+    rng = random.Random(6)
+    seen = Counter((rng.randrange(4), rng.randrange(19)) for _ in range(60))
+    asked = sorted({*seen, *((k, c) for k in range(5) for c in (0, 7, 18))})
+    odds, totals = context_mixing.predictions(np.array([k << 5 | c for k, c in asked], np.uint64), np.array([seen[x] for x in asked]))
+    for i, (key, c) in enumerate(asked):
+        assert totals[i] == sum(n for (k, _), n in seen.items() if k == key)
+        for d in range(5):
+            one, zero = (sum(n for (k, x), n in seen.items() if k == key and x >> (5 - d) == c >> (5 - d) and x >> (4 - d) & 1 == bit) for bit in (1, 0))
+            assert abs(odds[d, i] * context_mixing._STEP - math.log((one + 0.4) / (zero + 0.4))) <= 0.051
+
+
 def test_scores(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "never seen zzz")], "doc_id long, text string"))
     found = context_mixing.score(docs, fold("doc_id", 10) != 0).collect()

@@ -7,24 +7,30 @@ Within a class a word has its share of the class's smoothed count.
 
 Each decision is predicted by several contexts (none, the previous class, the
 previous word, the last two frequent words, the two previous words), by how
-often each bit followed.  The predictions are stretched (log odds), mixed by weights that the decision's depth and the
-previous class select (the gate), and squashed.  After each decision the
-weights move along the gradient of the coding cost.  Weights start anew every
-``SEGMENT`` tokens, so segments are scored side by side; contexts reach across.
+often each bit followed.  The predictions are stretched (log odds), mixed, and
+squashed.  The gate selects the weights: by the decision's depth, by whether the
+previous word is a common one, and by whether the two previous words were seen.
+After each decision the weights move along the gradient of the coding cost.
+Weights start anew every ``SEGMENT`` tokens, so segments are scored side by
+side; contexts reach across.
 
 Clusters are learned too: a common word belongs to the frequent word that it
 most often follows closely, relative to how often that one occurs.
 
 Counts of all training tokens decide what is common.  The contexts of classes
-and frequent words have a place each in a table of fixed size, summed over all
-training tokens, which reaches the driver.  Those of one and two previous words
-are as many as the corpus has: documents are dealt into chunks, each chunk asks
+and common words have a place each in a table of fixed size, summed over all
+training tokens, which reaches the driver.  Those of rare words and of two
+previous words are as many as the corpus has: documents are dealt into chunks, each chunk asks
 for its contexts by key, with its own counts, and a shuffle by key sums them
-and answers each chunk.  A word's own count is that of its context.
+and answers each chunk with log odds.  A word's key is its own; pairs of words
+are hashed to slots, of which there are sixteen and more for each training
+token, so fewer than one in sixteen contexts shares one.  A word's own count is
+that of its context.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,21 +40,25 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, mix, slices, table, text_bytes, word_hashes, written
+from tidemark.llm.common import drop_written, fold, mix, released, slices, table, text_bytes, word_hashes, written
 
 #: Words that every task knows, words with a cluster, and words that clusters are named after.
 COMMON, CORE, ANCHORS, FREQUENT = 1 << 17, 1 << 13, 16, 256
 DEPTH, NODES = 5, 32
 END, RARE, MIDDLE, FIRST = 0, 1, 2, 3  # classes; clusters begin at FIRST
 CONTEXTS = 5
-#: Places of the contexts that have one each: none, class and mark, two of the frequent words or none.
-PLACES = (0, 1, 65)
-SLOTS = 65 + (FREQUENT + 1) ** 2
+#: Places of the contexts that have one each: none, class and mark, two of the frequent words or none, a common word or none.
+PLACES = (0, 1, 65, 65 + (FREQUENT + 1) ** 2)
+SLOTS = PLACES[3] + COMMON + 1
 #: Bits below a context's key in a request: the class that followed, and whether in training.
 _LOW = 6
 #: Bytes of text in a chunk, and training tokens for each part of the keys.
 _CHUNK, _PART = 1 << 22, 1 << 21
-SEGMENT, RATE, START = 256, 0.02, 0.3
+SEGMENT, RATE, START = 1024, 0.02, 0.3
+#: Weight sets: by whether the previous class is one of rare or middling words, and whether the two previous words are known.
+GATES = 4
+#: Log odds are answered in steps of this.
+_STEP = 0.1
 #: Bytes of text that are worked on together; the arrays for them take some sixty times that.
 _SLICE = 1 << 20
 #: Of each word, the mass that a word never seen has.
@@ -122,28 +132,46 @@ def _last(mark: np.ndarray, values: np.ndarray, tokens: Tokens, none: int) -> np
 
 
 def contexts(tokens: Tokens, places: np.ndarray, classes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """The slot of each token in the contexts that have a place each, one row a context."""
+    """The slot of each token in the contexts that have a place each, one row a context; -1 after a rare word in the last."""
     rank = np.where(places >= 0, vocabulary.rank[places] if len(vocabulary.rank) else 0, COMMON)
     previous_class = _before(classes.astype(np.int64), tokens.starts, 31)
     frequent = rank < FREQUENT
     last = _last(frequent, rank.astype(np.int64), tokens, FREQUENT)
     # The frequent word before the last one, read at the last one.
     second = _last(frequent, last, tokens, FREQUENT)
-    return np.stack([np.zeros(len(rank), np.int64), PLACES[1] + 2 * previous_class + (last < FREQUENT), PLACES[2] + last * (FREQUENT + 1) + second])
+    word = PLACES[3] + 1 + _before(places.astype(np.int64), tokens.starts, -1)
+    word[_after_rare(tokens, places)] = -1
+    return np.stack([np.zeros(len(rank), np.int64), PLACES[1] + 2 * previous_class + (last < FREQUENT), PLACES[2] + last * (FREQUENT + 1) + second, word])
+
+
+def _after_rare(tokens: Tokens, places: np.ndarray) -> np.ndarray:
+    """Whether each token follows a word that isn't common."""
+    return _before(places < 0, tokens.starts, False)
 
 
 def _word_key(hashes: np.ndarray) -> np.ndarray:
     """Key of the context of one previous word."""
-    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(_LOW)
+    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(_LOW) | np.uint64(1)
 
 
-def keys(tokens: Tokens) -> np.ndarray:
-    """Keys of 58 bits of each token's previous word and two previous words, two rows."""
+def keys(tokens: Tokens, slots: int) -> np.ndarray:
+    """Keys of 58 bits of each token's previous word and two previous words, two rows.
+
+    A word's key is odd and its own.  Pairs of words are hashed to ``slots``
+    bits, the leading ones of an even key.
+    """
     none = np.uint64(1)
     previous = _before(tokens.hashes, tokens.starts, none)
     two = _before(previous, tokens.starts, none)
+    low = np.uint64(64 - _LOW - slots)
     with np.errstate(over="ignore"):
-        return np.stack([_word_key(previous), mix(mix(previous) * np.uint64(3) + mix(two) * np.uint64(5)) >> np.uint64(_LOW)])
+        return np.stack([_word_key(previous), mix(mix(previous) * np.uint64(3) + mix(two) * np.uint64(5)) >> np.uint64(64 - slots) << low])
+
+
+def _entries(tokens: Tokens, places: np.ndarray, classes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is asked: a context's key and the class that followed; for tokens after rare words, and for all tokens."""
+    one, two = keys(tokens, slots) << np.uint64(DEPTH) | classes.astype(np.uint64)
+    return one[_after_rare(tokens, places)], two
 
 
 def _paths(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +194,7 @@ def mixed_cost(stretched: np.ndarray, bits: np.ndarray, gates: np.ndarray, lengt
     size = np.minimum(SEGMENT, np.repeat(starts + lengths, pieces) - first)
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
-    n_gates = 2
-    weights = np.full((len(first), n_gates, DEPTH, stretched.shape[2]), START, np.float32)
+    weights = np.full((len(first), GATES, DEPTH, stretched.shape[2]), START, np.float32)
     for step in range(int(size.max(initial=0))):
         live = int(np.searchsorted(-size, -step, "left"))  # segments longer than step
         at = first[:live] + step
@@ -206,33 +233,41 @@ def _counts(training: DataFrame, text: str) -> DataFrame:
             unique, n = made()
             yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n)], names=["h", "c"])
 
-    return training.select(text).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return training.select(text).mapInArrow(released(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+_PACKED = "part int, places binary, counts binary"
 
 
-def _packed(name: str, cells: np.ndarray, parts: int) -> pa.RecordBatch:
+def _packed(cells: np.ndarray, parts: int) -> pa.RecordBatch:
     """A table of counts as one row for each part: places and counts of the cells that aren't 0."""
     width = -(-len(cells) // parts)
     at = np.flatnonzero(cells)
     cuts = np.searchsorted(at, np.arange(parts + 1) * width)
-    rows = [(p, (at[a:b] - p * width).astype("<u4").tobytes(), cells[at[a:b]].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "places", "counts"])
+    rows = [(p, _planes((at[a:b] - p * width).astype("<u4")), _planes(cells[at[a:b]].astype("<u8"))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "places", "counts"])
 
 
 def _summed(rows: DataFrame, cells: int, parts: int) -> np.ndarray:
-    """The sum of packed tables, part by part on the executors; the result has a fixed size."""
+    """The sum of packed tables, part by part on the executors; the result has a fixed size.
+
+    First those of some input partitions are summed, then the sums, so that a
+    task holds about the square root of the number of partitions of a part.
+    """
     width = -(-cells // parts)
+    groups = math.isqrt(rows.rdd.getNumPartitions()) + 1
 
     def add(group: pa.Table) -> pa.Table:
         out = np.zeros(width, np.int64)
-        for places, counts in zip(group["places"].to_pylist(), group["counts"].to_pylist(), strict=True):
-            out[np.frombuffer(places, "<u4")] += np.frombuffer(counts, "<u4")
+        for places, counts in zip(group["places"], group["counts"], strict=True):
+            out[_from_planes(places.as_py(), "<u4")] += _from_planes(counts.as_py(), "<u8").astype(np.int64)
         at = np.flatnonzero(out)
-        return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "places": pa.array([at.astype("<u4").tobytes()], pa.binary()), "counts": pa.array([np.minimum(out[at], (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "places": pa.array([_planes(at.astype("<u4"))], pa.binary()), "counts": pa.array([_planes(out[at].astype("<u8"))], pa.binary())})
 
-    schema = "part int, places binary, counts binary"
-    whole = np.zeros(width * parts)
-    for row in rows.groupBy("part").applyInArrow(add, schema).collect():
-        whole[row["part"] * width + np.frombuffer(bytes(row["places"]), "<u4")] = np.frombuffer(bytes(row["counts"]), "<u4")
+    whole = np.zeros(width * parts, np.float32)
+    some = rows.groupBy("part", (F.spark_partition_id() % groups).alias("_g")).applyInArrow(add, _PACKED)
+    for row in some.groupBy("part").applyInArrow(add, _PACKED).toLocalIterator():
+        whole[row["part"] * width + _from_planes(bytes(row["places"]), "<u4").astype(np.int64)] = _from_planes(bytes(row["counts"]), "<u8")
     return whole[:cells]
 
 
@@ -248,11 +283,11 @@ def _clusters(training: DataFrame, text: str, vocabulary: Vocabulary) -> Vocabul
             anchor = _last(rank < ANCHORS, rank, tokens, ANCHORS)
             fine = (rank < CORE) & (anchor < ANCHORS)
             cells += np.bincount(rank[fine] * ANCHORS + anchor[fine], minlength=len(cells))
-        yield _packed("clusters", cells, 16)
+        yield _packed(cells, 16)
 
     if not len(vocabulary.hashes):
         return vocabulary
-    seen = _summed(training.select(text).mapInArrow(run, "part int, places binary, counts binary"), CORE * ANCHORS, 16).reshape(CORE, ANCHORS)
+    seen = _summed(training.select(text).mapInArrow(released(run), _PACKED), CORE * ANCHORS, 16).reshape(CORE, ANCHORS)
     share = seen / np.maximum(seen.sum(axis=0, keepdims=True), 1)
     best = share.argmax(axis=1)
     cluster = np.where(vocabulary.rank < CORE, best[np.minimum(vocabulary.rank, CORE - 1)], -1)
@@ -260,28 +295,27 @@ def _clusters(training: DataFrame, text: str, vocabulary: Vocabulary) -> Vocabul
 
 
 def _tables(training: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarray:
-    """Stretched predictions (slots, nodes) of the contexts with a place each, from counts over all training tokens."""
+    """Log odds (slots, nodes), in steps, of the contexts with a place each, from counts over all training tokens."""
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
-    size = SLOTS * NODES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(2 * size, np.int64)
+        cells = np.zeros(SLOTS * NODES, np.int64)
         for batch in slices(batches, text, _SLICE):
             tokens = Tokens(batch.column(0))
             if not len(tokens.owner):
                 continue
             places = np.where(tokens.is_end, -1, shared.value.find(tokens.hashes))
             classes = np.where(tokens.is_end, END, shared.value.classes(places))
-            slot = contexts(tokens, places, classes, shared.value)
-            nodes, bits = _paths(classes)
-            for k in range(len(slot)):
-                for d in range(DEPTH):
-                    cell = (slot[k] * NODES + nodes[d]) * 2 + bits[d]
-                    np.add.at(cells, cell, 1)
-        yield _packed("tables", cells, 64)
-
-    n = _summed(training.select(text).mapInArrow(run, "part int, places binary, counts binary"), 2 * size, 64).reshape(size, 2)
-    return np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float32).reshape(SLOTS, NODES)
+            for slot in contexts(tokens, places, classes, shared.value):
+                np.add.at(cells, (slot * NODES + classes)[slot >= 0], 1)
+        yield _packed(cells, 64)
+
+    n = _summed(training.select(text).mapInArrow(released(run), _PACKED), SLOTS * NODES, 64)
+    out = np.zeros((SLOTS, NODES), np.int8)
+    for d in range(DEPTH):
+        zero, one = np.moveaxis(n.reshape(SLOTS, 1 << d, 2, 1 << (DEPTH - 1 - d)).sum(axis=3), 2, 0)
+        out[:, 1 << d : 2 << d] = np.clip(np.rint(np.log((one + np.float32(0.4)) / (zero + np.float32(0.4))) / _STEP), -127, 127)
+    return out
 
 
 # Contexts by key
@@ -310,11 +344,6 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All places of spans, end to end."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 def _packs(docs: DataFrame, text: str) -> DataFrame:
     """Documents in chunks: chunk, docs (an Arrow stream); written, so that a chunk keeps its number and rows."""
 
@@ -332,11 +361,41 @@ def _opened(pack: pa.Scalar) -> Iterator[pa.RecordBatch]:
     return iter(pa.ipc.open_stream(pack.as_py()))
 
 
-def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int) -> DataFrame:
-    """chunk, part, and for each key of the chunk in that part, by rising key, the classes that followed in training and how often.
+def _sums(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct entries, rising, and the sum of ``n`` of each."""
+    order = np.argsort(entries)
+    entries = entries[order]
+    new = _runs(entries)
+    return entries[new], np.add.reduceat(n[order].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+
+
+def predictions(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries (a key, ``DEPTH`` bits of class), rising, of which ``n`` times were in training: the log odds of the
+    decisions on the way to the class (depth, entries), in steps, and how often the key was there."""
+    total = np.concatenate([[0], np.cumsum(n)])
+
+    def level(bits: int) -> np.ndarray:
+        """How often the key and the first ``bits`` bits of the class were there."""
+        first = _runs(entries >> np.uint64(DEPTH - bits))
+        last = np.append(first, len(entries))
+        return np.repeat(total[last[1:]] - total[last[:-1]], np.diff(last))
+
+    above = key = level(0)
+    out = np.empty((DEPTH, len(entries)), np.int8)
+    for d in range(DEPTH):
+        below = level(d + 1)
+        odds = np.log((below + 0.4) / (above - below + 0.4)) / _STEP
+        bit = entries >> np.uint64(DEPTH - 1 - d) & np.uint64(1)
+        out[d] = np.clip(np.rint(np.where(bit == 1, odds, -odds)), -127, 127)
+        above = below
+    return out, key
+
+
+def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int, slots: int) -> DataFrame:
+    """chunk, part, and for each entry of the chunk in that part, rising, its predictions; for each word its total.
 
     A part is the keys with the same leading ``bits``.  Keys are hashes and a
-    chunk asks once for a key, so parts are alike in size, whatever is frequent.
+    chunk asks once for an entry, so parts are alike in size, whatever is frequent.
     """
     shared = packs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -347,9 +406,10 @@ def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int) ->
                 for piece in slices(_opened(batch.column(1)[row]), text, _SLICE):
                     tokens = Tokens(piece.column(2))
                     places = np.where(tokens.is_end, -1, shared.value.find(tokens.hashes))
-                    classes = np.where(tokens.is_end, END, shared.value.classes(places)).astype(np.uint64)
+                    classes = np.where(tokens.is_end, END, shared.value.classes(places))
                     training = piece.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)[tokens.owner]
-                    asked.append((keys(tokens) << np.uint64(_LOW) | classes << np.uint64(1) | training).ravel())
+                    one, two = _entries(tokens, places, classes, slots)
+                    asked += [one << np.uint64(1) | training[_after_rare(tokens, places)], two << np.uint64(1) | training]
                 entries = np.sort(np.concatenate(asked))
                 new = _runs(entries)
                 n, entries = np.diff(np.append(new, len(entries))).astype("<u4"), entries[new]
@@ -361,67 +421,47 @@ def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int) ->
     def add(group: pa.Table) -> pa.Table:
         asked = [_from_planes(x.as_py(), "<u8") for x in group["entries"]]
         entries, n = np.concatenate(asked), np.concatenate([_from_planes(x.as_py(), "<u4") for x in group["n"]])
-        fine = entries & np.uint64(1) == 1
-        entries, n = entries[fine] >> np.uint64(1), n[fine]
-        order = np.argsort(entries)
-        entries, n = entries[order], n[order]
-        new = _runs(entries)
-        total = np.add.reduceat(n.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
-        entries = entries[new]
-        known, classes = entries >> np.uint64(_LOW - 1), (entries & np.uint64(NODES - 1)).astype(np.uint8)
-        first = _runs(known)
-        known, sizes = known[first], np.diff(np.append(first, len(known)))
+        entries, n = _sums(entries >> np.uint64(1), np.where(entries & np.uint64(1) == 1, n, 0))
+        odds, totals = predictions(entries, n)
         out = []
         for mine in asked:
-            mine = mine >> np.uint64(_LOW)
-            mine = mine[_runs(mine)]
-            at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
-            size = np.where(known[at] == mine, sizes[at], 0) if len(known) else np.zeros(len(mine), np.int64)
-            cells = _spans(first[at], size) if len(known) else np.zeros(0, np.int64)
-            out.append((_shrunk(size.astype(np.uint8).tobytes()), _shrunk(classes[cells].tobytes()), _planes(total[cells].astype("<u8"))))
-        return pa.table({"chunk": group["chunk"].cast(pa.int64()), "part": group["part"].cast(pa.int32())} | {name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("sizes", "classes", "counts"))})
+            mine = mine >> np.uint64(1)
+            at = np.searchsorted(entries, mine[_runs(mine)])
+            words = at[_words(entries[at])]
+            out.append((_shrunk(np.ascontiguousarray(odds[:, at]).tobytes()), _planes(totals[words].astype("<u8"))))
+        return pa.table({"chunk": group["chunk"].cast(pa.int64()), "part": group["part"].cast(pa.int32())} | {name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("odds", "totals"))})
+
+    asked = packs.mapInArrow(released(ask), "chunk long, part int, entries binary, n binary")
+    return asked.groupBy("part").applyInArrow(add, "chunk long, part int, odds binary, totals binary")
 
-    asked = packs.mapInArrow(ask, "chunk long, part int, entries binary, n binary")
-    return asked.groupBy("part").applyInArrow(add, "chunk long, part int, sizes binary, classes binary, counts binary")
+
+def _words(entries: np.ndarray) -> np.ndarray:
+    """Places of the first entry of each word's context among rising entries."""
+    new = _runs(entries >> np.uint64(DEPTH))
+    return new[entries[new] >> np.uint64(DEPTH) & np.uint64(1) == 1]
 
 
 class Answer:
-    """What a chunk was answered: for each of its ``keys``, by rising key, classes and counts."""
+    """What a chunk was answered for its ``entries``."""
 
-    def __init__(self, asked: np.ndarray, rows: pa.Table) -> None:
-        asked = np.sort(asked)
-        self.keys = asked[_runs(asked)]
+    def __init__(self, entries: np.ndarray, rows: pa.Table) -> None:
+        entries = np.sort(entries)
+        self.entries = entries[_runs(entries)]
+        self.words = self.entries[_words(self.entries)] >> np.uint64(DEPTH)
         rows = rows.sort_by("part")
-        join = lambda name: b"".join(_grown(x.as_py()) for x in rows[name])
-        self.sizes = np.frombuffer(join("sizes"), np.uint8).astype(np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.classes = np.frombuffer(join("classes"), np.uint8)
-        self.counts = np.concatenate([np.zeros(0, "<u8"), *(_from_planes(x.as_py(), "<u8") for x in rows["counts"])])
-        self.sums = np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
-        if len(self.sizes) != len(self.keys):
-            raise ValueError("a chunk's answers don't fit its keys")
-
-    def totals(self, wanted: np.ndarray) -> np.ndarray:
-        """How often each of ``wanted`` was followed by any token."""
-        at = np.searchsorted(self.keys, wanted)
-        return self.sums[self.starts[at] + self.sizes[at]] - self.sums[self.starts[at]]
-
-    def stretched(self, wanted: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """The prediction of each decision (tokens, depth) on the way to ``classes``."""
-        at, back = np.unique(np.searchsorted(self.keys, wanted), return_inverse=True)
-        cells = _spans(self.starts[at], self.sizes[at])
-        below = np.zeros((len(at), NODES + 1))  # counts of all classes below each
-        below[np.repeat(np.arange(len(at)), self.sizes[at]), self.classes[cells] + 1] = self.counts[cells]
-        below = below.cumsum(axis=1).ravel()
-        row = back * (NODES + 1)
-        out = np.empty((len(wanted), DEPTH), np.float32)
-        left, right = 0.0, below[row + NODES]
-        for d in range(DEPTH):
-            middle = below[row + ((classes >> (DEPTH - d) << (DEPTH - d)) + (1 << (DEPTH - 1 - d)))]
-            out[:, d] = np.log((right - middle + 0.4) / (middle - left + 0.4))
-            one = classes >> (DEPTH - 1 - d) & 1 == 1
-            left, right = np.where(one, middle, left), np.where(one, right, middle)
-        return out
+        parts = [np.frombuffer(_grown(x.as_py()), np.int8).reshape(DEPTH, -1) for x in rows["odds"]]
+        self.odds = np.ascontiguousarray(np.concatenate([np.zeros((DEPTH, 0), np.int8), *parts], axis=1).T)
+        self.totals = np.concatenate([np.zeros(0, "<u8"), *(_from_planes(x.as_py(), "<u8") for x in rows["totals"])])
+        if len(self.odds) != len(self.entries) or len(self.totals) != len(self.words):
+            raise ValueError("a chunk's answers don't fit its entries")
+
+    def times(self, hashes: np.ndarray) -> np.ndarray:
+        """How often each of these words of the chunk was in training."""
+        return self.totals[np.searchsorted(self.words, _word_key(hashes))]
+
+    def stretched(self, wanted: np.ndarray) -> np.ndarray:
+        """The prediction of each decision (tokens, depth) of these entries."""
+        return self.odds[np.searchsorted(self.entries, wanted)] * np.float32(_STEP)
 
 
 # Scoring
@@ -442,41 +482,46 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     documents = training.count()
     words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = counts.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    drop_written(counts)
     hashes, n = common["h"].to_numpy().astype(np.int64).view(np.uint64), common["c"].to_numpy().astype(np.int64)
     order = np.argsort(hashes)
     vocabulary = Vocabulary(hashes[order], n[order], np.argsort(np.argsort(-n, kind="stable"), kind="stable")[order], np.full(len(n), -1), words + documents, types + bool(documents), documents)
     vocabulary = _clusters(training, text, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, _tables(training, text, vocabulary)))
     packs = _packs(docs, text)
-    answers = _answers(packs, text, vocabulary, max(0, ((words + documents) // _PART).bit_length()))
+    slots = min(57, max(16, (16 * (words + documents)).bit_length()))
+    answers = _answers(packs, text, vocabulary, max(0, ((words + documents) // _PART).bit_length()), slots)
 
     def run(pack: pa.Table, answer: pa.Table) -> pa.Table:
         vocabulary, tables = model.value
         masses = vocabulary.masses()
         denominator = float(np.log10(vocabulary.tokens + PRIOR * (vocabulary.types + 1)))
         pieces = list(slices(_opened(pack["docs"][0]), text, _SLICE))
-        answer = Answer(np.concatenate([keys(Tokens(piece.column(2))).ravel() for piece in pieces]), answer)
-        out = []
+        asked = []
         for batch in pieces:
             tokens = Tokens(batch.column(2))
-            n = batch.num_rows
             places = np.where(tokens.is_end, -1, vocabulary.find(tokens.hashes))
             classes = np.where(tokens.is_end, END, vocabulary.classes(places))
+            asked.append((tokens, places, classes, *_entries(tokens, places, classes, slots)))
+        answer = Answer(np.concatenate([y for x in asked for y in x[3:]]), answer)
+        out = []
+        for batch, (tokens, places, classes, one, two) in zip(pieces, asked, strict=True):
+            n = batch.num_rows
             slot = contexts(tokens, places, classes, vocabulary)
             nodes, bits = _paths(classes)
             stretched = np.empty((len(classes), DEPTH, CONTEXTS), np.float32)
             for k in range(len(slot)):
                 for d in range(DEPTH):
-                    stretched[:, d, k] = tables[slot[k], nodes[d]]
-            for k, wanted in enumerate(keys(tokens), len(slot)):
-                stretched[:, :, k] = answer.stretched(wanted, classes)
-            gates = (_before(classes, tokens.starts, END) >= MIDDLE).astype(np.int64)
+                    stretched[:, d, k] = tables[slot[k], nodes[d]] * np.float32(_STEP)
+            stretched[slot[-1] < 0, :, -2] = answer.stretched(one)
+            stretched[:, :, -1] = answer.stretched(two)
+            gates = (_before(classes, tokens.starts, END) < MIDDLE) + 2 * (stretched[:, 0, -1] != 0)
             lengths = tokens.ends - tokens.starts + 1
             cost = mixed_cost(stretched, bits.T, gates, lengths, tokens.starts) / np.log(10)
             # What a class's words share.
             times = np.where(tokens.is_end, vocabulary.documents, np.where(places >= 0, vocabulary.counts[places] if len(vocabulary.counts) else 0, 0))
             rare = classes == RARE
-            times[rare] = answer.totals(_word_key(tokens.hashes[rare]))
+            times[rare] = answer.times(tokens.hashes[rare])
             own = np.log10(times + PRIOR)
             total, base = (np.bincount(tokens.owner, x, n) for x in (cost + own - np.log10(masses[classes]), own - denominator))
             known = np.bincount(tokens.owner, times > 0, n).astype(np.int64)
