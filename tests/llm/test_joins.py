@@ -182,6 +182,30 @@ def test_products_are_exact():
         topk_search.products(a, a)
 
 
+def test_scores_that_no_long_holds(spark):
+    great, least = (1 << 63) - 1, -(1 << 63)
+    a = np.array([[1 << 40, 3]], np.int64)
+    assert topk_search.scores(a, np.concatenate([a, -a, a // a])).tolist() == [[great, least, (1 << 40) + 3]]
+    rows = [(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 0.0]), (3, [1e15, 0.0]), (4, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk_search.top_k(vectors, F.col("vec_id") == 0, 4).orderBy("rank").collect()]
+    assert got == [(1, great), (3, great), (4, 65536), (2, least)]
+
+
+def test_blocks_of_queries_share_a_run(spark, monkeypatch):
+    for name, value in (("BUCKET", 8), ("QUERIES", 4), ("RUN", 2), ("GROUP", 3)):
+        monkeypatch.setattr(topk_search, name, value)
+    x = np.random.default_rng(5).integers(-9, 9, size=(120, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<int>")
+    got = sorted(map(tuple, topk_search.top_k(vectors, F.col("vec_id") % 2 == 0, 3, scale=1.0).collect()))
+    want = []
+    for q in range(0, 120, 2):
+        found = x @ x[q]
+        best = [j for j in np.lexsort((np.arange(120), -found)) if j != q][:3]
+        want += [(q, r + 1, int(j), int(found[j])) for r, j in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_chroma():
     rng = np.random.default_rng(0)
     notes = rng.normal(size=150) * 0.12

@@ -32,8 +32,8 @@ from tidemark.llm.common import table, written
 
 #: Vectors in a bucket and queries in a block, at most.
 BUCKET, QUERIES = 2048, 512
-#: Buckets that one task takes a block of queries through, in order.
-RUN = 8
+#: Buckets that one task takes blocks of queries through, in order, and how many blocks about.
+RUN, GROUP = 8, 8
 #: Local cosine threshold from which coordinates are tested, and how many of them.
 STEEP, FOCUS = 0.5, 3
 _EXACT = float(1 << 53)
@@ -95,6 +95,15 @@ def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return exact.astype(np.int64)  # raises if a product doesn't fit a long
 
 
+def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """``products``, of which those that no long holds count as the greatest or the least long."""
+    try:
+        return products(queries, candidates)
+    except OverflowError:
+        exact, longs = queries.astype(object) @ candidates.astype(object).T, np.iinfo(np.int64)
+        return np.minimum(np.maximum(exact, longs.min), longs.max).astype(np.int64)
+
+
 class Best:
     """The k best candidates so far of each query: score falling, ties to the smaller id."""
 
@@ -141,7 +150,7 @@ def search(query_block: dict, buckets: list[dict], k: int, bounds: np.ndarray |
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = np.where((need[flat] > 0) & (lengths[flat] > 0), need[flat] / np.maximum(lengths[flat], 1e-300), -1.0)
             last = np.searchsorted(-sizes, -least, "right")
-            found = products(q[flat], c[: last.max(initial=0)])
+            found = scores(q[flat], c[: last.max(initial=0)])
             for row, i in enumerate(flat.tolist()):
                 score = found[row, : last[row]]
                 fine = np.flatnonzero((score >= need[i]) & (ids[: last[row]] != query_ids[i]))
@@ -156,7 +165,7 @@ def search(query_block: dict, buckets: list[dict], k: int, bounds: np.ndarray |
                 fine &= (directions[:, f] >= low - 1e-9) & (directions[:, f] <= high + 1e-9)
             fine = np.flatnonzero(fine & (ids != query_ids[i]))
             if len(fine):
-                score = products(q[i : i + 1], c[fine])[0]
+                score = scores(q[i : i + 1], c[fine])[0]
                 keep = score >= need[i]
                 best.add(i, score[keep], ids[fine][keep])
     return best
@@ -170,11 +179,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     as if the shorter ended in zeros.  Rows with a null id take no part.  Rows
     with the query's own id aren't its candidates; other repeated candidates
     each count.  A query id that occurs more than once asks with the first of
-    its vectors in order.
+    its vectors in order.  A component or score that no long holds counts as the
+    greatest or the least long, and ties among those go to the smaller id.
 
-    Blocks of queries meet runs of buckets by a join on the run's number: each
-    block goes to every run, and a run skips the queries whose bound none of its
-    vectors can reach.  First all queries go through the first run, the longest
+    Groups of about ``GROUP`` blocks of queries meet runs of buckets by a join
+    on the run's number: a block goes to the runs that one of its queries can
+    gain from, a run is copied once for each group that asks for it.  First all queries go through the first run, the longest
     vectors, which gives each a bound.
     """
     spark = vectors.sparkSession
@@ -190,6 +200,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     buckets = written(_blocks(ranged, BUCKET), "buckets")
     queries = _blocks(asked.repartition(max(1, n // (BUCKET * RUN)), deal), QUERIES).drop("run")
     queries = written(queries.withColumn("block", F.xxhash64("ids")), "queries")
+    groups = -(-queries.count() // GROUP)
 
     def through(first: bool):
         def run(group: pa.Table, other: pa.Table) -> pa.Table:
@@ -207,30 +218,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
 
         return run
 
-    return _joined(queries, buckets, k, key, through)
+    return _joined(queries, buckets, k, key, through, max(1, groups))
 
 
-def _joined(queries: DataFrame, buckets: DataFrame, k: int, key: str, through) -> DataFrame:
+def _joined(queries: DataFrame, buckets: DataFrame, k: int, key: str, through, groups: int) -> DataFrame:
     found = "query_id long, score long, id long"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     longest = F.lit(buckets.orderBy(F.desc("longest"), "run").first()["run"])
-    first = written(_cogrouped(queries.withColumn("run", longest), buckets.where(F.col("run") == longest), through(True), found), "first")
+    first = written(_cogrouped(queries.withColumn("run", longest), buckets.where(F.col("run") == longest), through(True), found, groups), "first")
     kth = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "score")
     bounded = written(_with_bounds(queries, kth), "bounded")
     # A block goes only to the runs that one of its queries can still gain from.
     reach = buckets.where(F.col("run") != longest).groupBy("run").agg(F.max("longest").alias("reach"))
-    spread = bounded.withColumn("_one", F.lit(1)).join(reach.withColumn("_one", F.lit(1)), "_one").where(F.col("least") <= F.col("reach"))
-    out = first.unionByName(_cogrouped(spread.drop("reach", "_one"), buckets, through(False), found))
+    spread = bounded.join(reach, F.col("least") <= F.col("reach"))
+    out = first.unionByName(_cogrouped(spread.drop("reach"), buckets, through(False), found, groups))
     ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
 
-def _cogrouped(queries: DataFrame, buckets: DataFrame, run, schema: str) -> DataFrame:
-    """Each block of queries with each run of buckets, a task's memory holding one of both."""
-    # The pair is the key: (run, block); buckets are copied to the blocks that ask for them.
-    wanted = queries.select(F.col("run").alias("_run"), F.col("block").alias("_block")).distinct()
-    right = buckets.join(wanted, F.col("run") == F.col("_run")).select("_run", "_block", "longest", "ids", "dims", "data")
-    return queries.groupBy("run", "block").cogroup(right.groupBy("_run", "_block")).applyInArrow(run, schema)
+def _cogrouped(queries: DataFrame, buckets: DataFrame, run, schema: str, groups: int) -> DataFrame:
+    """Each group of query blocks with each run of buckets, a task's memory holding one of both."""
+    # The pair is the key: (run, group); buckets, the larger side, are copied once for each group that asks for them.
+    asking = queries.withColumn("group", F.pmod("block", F.lit(groups)))
+    wanted = asking.select(F.col("run").alias("_run"), F.col("group").alias("_group")).distinct()
+    right = buckets.join(wanted, F.col("run") == F.col("_run")).select("_run", "_group", "longest", "ids", "dims", "data")
+    return asking.groupBy("run", "group").cogroup(right.groupBy("_run", "_group")).applyInArrow(run, schema)
 
 
 def _with_bounds(queries: DataFrame, kth: DataFrame) -> DataFrame:
