@@ -4,6 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import StoreConfig
@@ -159,6 +160,30 @@ def test_compaction_keeps_versions_and_ranges(store, rows):
     assert values(store.get(1, 4, 2)) == [(4, 5)]
 
 
+def test_compaction_gives_files_ranges_of_their_own(store, spark):
+    store.register_schema(1, 1, A)
+    for step in range(3):
+        store.append(1, 1, spark.range(step, 3000, 3).selectExpr("id as uid", "id as a").repartition(4), now_ms=step)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.compact_range(1, now_ms=10, ttl_ms=1000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = store.frames(1).groupBy(F.input_file_name().alias("file")).agg(F.min("uid").alias("low"), F.max("uid").alias("high")).orderBy("low").collect()
+    assert len(files) > 1 and all(a.high < b.low for a, b in zip(files, files[1:], strict=False))
+    assert store.frames(1).count() == 3000 and values(store.get(1, 2999, 1)) == [(2999,)]
+
+
+def test_batch_get_reads_once(store, rows):
+    store.register_schema(1, 2, AB)
+    store.append(1, 2, rows((1, 1, 2), ddl="uid long, a long, b int"))
+    found = store.batch_get([Request(1, 1, 2, ("b",)), Request(1, 5, 2, ("b",))])
+    plan = found.status._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by") == 1 and plan.count("parquet") == 1
+    assert values(found.groups[1, 2, ("b",)]) == [(0, 1, 2)]
+
+
 def test_invalid_frames(spark):
     frames = spark.createDataFrame([(1, 10, 1, "APPEND", 1, True, [(1,)]), (1, 20, 2, "APPEND", 1, False, [(2,)]), (2, 5, 3, "APPEND", 1, False, [(3,)])], frame_schema(A))
     assert values(rows_of(ops.latest(frames), ["a"])) == [(1, 1)]

@@ -429,10 +429,12 @@ class VersionedStore:
             stored = self._visible(now, table, shape if shape.fields else now.registry.get(table, now.registry.max_version(table)))
             asked = mine.select(F.col("uid").alias("__asked")).distinct()
             candidates = stored.join(asked, F.col("uid") == F.col("__asked"), "left_semi")
-            best = ops.latest(candidates).select(F.col("uid").alias("__uid"), F.col("__schema_version"), "payload")
-            seen = candidates.groupBy(F.col("uid").alias("__seen")).agg(F.max("__ok").alias("__any_ok"))
-            # The latest frames of the entities asked for, kept for the status and for the rows.
-            joined = mine.join(seen, F.col("uid") == F.col("__seen"), "left").join(best, F.col("uid") == F.col("__uid"), "left")
+            if later is None:
+                candidates = narrowed(candidates, fields, wanted)
+            # One aggregate: the latest valid frame, or an invalid one where an entity has no other.
+            order = F.struct(F.coalesce("__ok", F.lit(False)), "__timestamp", "__seq")
+            best = candidates.groupBy(F.col("uid").alias("__seen")).agg(F.max_by(F.struct(F.coalesce("__ok", F.lit(False)).alias("__any_ok"), "__schema_version", *(["payload"] if later is None else [])), order).alias("__best"))
+            joined = mine.join(best.select("__seen", "__best.*"), F.col("uid") == F.col("__seen"), "left")
             # A missing entity is reported before a bad version or column.
             status = F.when(F.col("__seen").isNull(), "KeyError").when(F.lit(later is not None and later.code == "KeyError" and fields is None), "KeyError").when(~F.col("__any_ok"), "SerializationError")
             message = F.when(F.col("__seen").isNull(), F.concat(F.lit("uid "), F.col("uid").cast("string"), F.lit(" not found"))).when(F.lit(fields is None), "schema not found").when(~F.col("__any_ok"), "no valid frame")
@@ -443,7 +445,7 @@ class VersionedStore:
                 status, message = status.otherwise(later.code), message.otherwise(str(later))
             else:
                 status, message = status.otherwise("OK"), message.otherwise("")
-            found = joined.select("req_idx", "uid", status.alias("status"), message.alias("message"), F.when(status == "OK", F.size("payload")).otherwise(0).cast("long").alias("n_rows"), *(["payload"] if later is None else []))
+            found = joined.select("req_idx", "uid", status.alias("status"), message.alias("message"), (F.when(status == "OK", F.size("payload")).otherwise(0) if later is None else F.lit(0)).cast("long").alias("n_rows"), *(["payload"] if later is None else []))
             out.append(found.drop("payload"))
             if later is None:
                 groups[table, version, columns] = rows_of(found.where("status = 'OK'"), wanted, ("req_idx", "uid"))
@@ -492,7 +494,9 @@ class VersionedStore:
         versions = sorted({f.version for f in files})
         everything = read_frames(self.spark, [f"{self.root}/{f.path}" for f in files], now.registry.get(table, now.registry.max_version(table)))
         kept = ops.compacted(everything, now_ms, ttl_ms, uid_start, uid_end)
-        before, after = everything.agg(F.count("*"), F.countDistinct("uid")).first(), kept.agg(F.count("*"), F.countDistinct("uid")).first()
+        # Counted by entity first, as one aggregate with a distinct count would be planned twice over all frames.
+        counted = lambda of: of.groupBy("uid").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        before, after = counted(everything), counted(kept)
         if before == after and not force_bottommost and len(files) == len(versions):
             return None
         commit, actions = self.log.claim(), []
@@ -501,7 +505,9 @@ class VersionedStore:
             own = read_frames(self.spark, [f"{self.root}/{f.path}" for f in files if f.version == version], now.registry.get(table, version))
             keys = kept.where(F.col("__schema_version") == version).select(F.col("uid").alias("__u"), F.col("__seq").alias("__s"))
             frames = own.join(keys, (F.col("uid") == F.col("__u")) & (F.col("__seq") == F.col("__s")), "left_semi")
-            actions += self._write(now, table, version, commit, frames, number)
+            # Each file gets a range of entities of its own, so point reads skip the others; a busy entity may take several.
+            actions += self._write(now, table, version, commit, frames.repartitionByRange("uid", "__seq"), number)
+
         def swap(newest: Snapshot) -> list[dict]:
             if newest.generation.get(table) != now.generation[table] or any(f.path not in newest.files.get(table, {}) for f in files):
                 raise ConflictError(f"table {table} was compacted or dropped meanwhile")
