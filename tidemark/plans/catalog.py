@@ -21,7 +21,9 @@ from tidemark.functions.schemas import SchemaRegistry
 from tidemark.operators import frames as ops
 from tidemark.operators.projection import align, project, resolve
 from tidemark.plans.store import Append, VersionedStore, archived
+from tidemark.sources.frame_codec import export_frames, import_values
 from tidemark.sources.frames import one_row_frames, rows_of
+from tidemark.streaming.sinks import append_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,10 +60,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(read(spark, sf_dir, "events"))
+
+
+def as_events(rows: DataFrame) -> DataFrame:
     """Events with ts_ms, seq, ver, and props that only version 2 has."""
     ts_ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     ver = (1 + F.col("event_id") % 2).cast("int")
-    return read(spark, sf_dir, "events").select(
+    return rows.select(
         F.col("user_id").alias("uid"), ts_ms.cast("long").alias("ts_ms"), F.col("event_id").alias("seq"), ver.alias("ver"), "event_type", "value", F.when(ver == 2, F.col("props")).alias("props"), "ts"
     )
 
@@ -71,10 +77,23 @@ def frames(spark: SparkSession, sf_dir: str, *, timestamp=None, op=None, ok=None
     return one_row_frames(events(spark, sf_dir), V2.names, uid=F.col("uid"), timestamp=timestamp if timestamp is not None else F.col("ts_ms"), seq=F.col("seq"), version=F.col("ver"), op=op, ok=ok)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name in the folder that all executors share; where it is unset, a local one, which only a local session may use."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StoreError("spark.checkpoint.dir must name a shared folder")
+        shared = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def store_at(spark: SparkSession) -> VersionedStore:
-    """A new store in the folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return VersionedStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}").init()
+    return VersionedStore(spark, new_folder(spark, "store")).init()
+
+
+def place(frames: DataFrame) -> DataFrame:
+    """uid, seq, ts_ms of a store's frames; seq is the place that the event had in its commit."""
+    return frames.select("uid", F.col("__seq").bitwiseAND((1 << 32) - 1).alias("seq"), F.col("__timestamp").alias("ts_ms"))
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> VersionedStore:
@@ -398,3 +417,103 @@ def q_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("uid"), (F.lit(NOW_MS) - F.col("o_orderkey") % 20 * DAY_MS).alias("at_ms"))
     found = ops.as_of(requests, frames(spark, sf_dir))
     return found.select("o_orderkey", "uid", F.col("__seq").alias("seq"), F.col("payload")[0]["value"].alias("value"))
+
+
+@query(f"SELECT value, event_type FROM {_F} WHERE uid = 3 {_LATEST}")
+def q_store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entity's latest frame through the store, two columns of it."""
+    return loaded(spark, sf_dir).get(1, 3, 2, ["value", "event_type"])
+
+
+@query(
+    f"SELECT s_suppkey AS uid, 'restock' AS event_type, CAST(s_acctbal AS DOUBLE) AS value, s_name AS props FROM supplier "
+    f"UNION ALL (SELECT uid, event_type, value, props FROM {_F} WHERE uid NOT IN (SELECT s_suppkey FROM supplier) {_LATEST})"
+)
+def q_store_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PUT replaces all frames of its entities, also those with later times."""
+    store = loaded(spark, sf_dir)
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("uid"), F.lit("restock").alias("event_type"), F.col("s_acctbal").cast("double").alias("value"), F.col("s_name").alias("props"))
+    store.put(1, 2, rows, timestamp_ms=0)
+    return store.latest(1, 2)
+
+
+@query(f"SELECT uid, seq, ts_ms FROM {_F} WHERE uid BETWEEN 5 AND 12")
+def q_store_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's frames of a range of entities."""
+    return place(loaded(spark, sf_dir).frames(1, 2, 5, 12))
+
+
+@query(f"SELECT uid, seq, ts_ms FROM {_F} WHERE NOT (uid BETWEEN 3 AND 9) OR {NOW_MS} - ts_ms <= {TTL_MS}")
+def q_store_compact_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a compaction of entities 3 to 9."""
+    store = loaded(spark, sf_dir)
+    store.set_ttl(TTL_MS)
+    store.compact_range(1, 3, 9, now_ms=NOW_MS)
+    store.flush_all()
+    return place(store.frames(1))
+
+
+@query(f"SELECT event_type, CAST(count(*) AS BIGINT) AS n, max(value) AS top FROM (SELECT * FROM {_F} {_LATEST}) GROUP BY event_type")
+def q_store_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a table's view."""
+    return spark.sql(f"SELECT event_type, count(*) AS n, max(value) AS top FROM {loaded(spark, sf_dir).view(1, 2)} GROUP BY event_type")
+
+
+@query(f"SELECT uid, seq, ts_ms FROM {_F}")
+def q_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that a stream appends; the stream started again appends none of them twice."""
+    store, checkpoint = store_at(spark), new_folder(spark, "stream")
+    store.register_schema(1, 2, V2)
+    # A pattern, as a stream's source takes no path of a single file.
+    files = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/event[s].parquet")
+    rows = as_events(files).select("uid", F.col("ts_ms").alias("__timestamp"), F.col("seq").alias("__place"), *V2.names)
+    for _ in range(2):
+        append_sink(rows, store, 1, 2, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return place(store.frames(1))
+
+
+@query(f"SELECT uid, ts_ms, ver, seq % 7 <> 0 AS ok, CASE WHEN seq % 7 <> 0 THEN event_type END AS event_type, CASE WHEN seq % 7 <> 0 THEN value END AS value, CASE WHEN seq % 7 <> 0 THEN props END AS props FROM {_F}")
+def q_codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as bytes under their keys' bytes and back; the checksum finds those whose last byte was changed."""
+    changed = F.when(F.expr("substring(frame, -1, 1) = X'00'"), F.expr("X'01'")).otherwise(F.expr("X'00'"))
+    spoilt = F.concat(F.expr("substring(frame, 1, length(frame) - 1)"), changed)
+    stored = export_frames(frames(spark, sf_dir), V2).withColumn("frame", F.when(F.col("__seq") % 7 == 0, spoilt).otherwise(F.col("frame")))
+    found = import_values(stored.select(F.unhex(F.lpad(F.hex("uid"), 16, "0")).alias("key"), F.col("frame").alias("value")), V2)
+    row = F.get("payload", F.lit(0))
+    return found.select("uid", F.col("__timestamp").alias("ts_ms"), F.col("__schema_version").alias("ver"), F.col("__ok").alias("ok"), *(row[n].alias(n) for n in V2.names))
+
+
+#: What is asked of a store with version 1 of table 1, and the status that it gets.
+_REFUSED: dict[str, tuple[Callable[[VersionedStore, DataFrame], object], str]] = {
+    "get: no such table": (lambda s, rows: s.get(9, 1, 1), "KeyError"),
+    "get: no such version": (lambda s, rows: s.get(1, 1, 9), "KeyError"),
+    "get: no such entity": (lambda s, rows: s.get(1, 77, 1), "KeyError"),
+    "get: no such column": (lambda s, rows: s.get(1, 1, 1, ["nothing"]), "KeyError"),
+    "append: no such table": (lambda s, rows: s.append(9, 1, rows), "KeyError"),
+    "append: a field is missing": (lambda s, rows: s.append(1, 1, rows.drop("value")), "Invalid"),
+    "append: a field of another type": (lambda s, rows: s.append(1, 1, rows.withColumn("value", F.lit(1))), "Invalid"),
+    "append: no rows given": (lambda s, rows: s.batch_append([Append(1, 1, None)]), "Invalid"),
+    "put: no time": (lambda s, rows: s.put(1, 1, rows), "Invalid"),
+    "register: a field is gone": (lambda s, rows: s.register_schema(1, 2, T.StructType(V1.fields[:1])), "Invalid"),
+    "drop: no such table": (lambda s, rows: s.drop_table(9), "KeyError"),
+    "compact: no such table": (lambda s, rows: s.compact_range(9), "KeyError"),
+    "archive: no such table": (lambda s, rows: s.archive_frame(9), "KeyError"),
+    "get: found": (lambda s, rows: s.get(1, 1, 1), "OK"),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{status}')" for name, (_, status) in _REFUSED.items()) + ") AS t(request, status)")
+def q_store_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of requests that a store refuses."""
+    store = store_at(spark)
+    store.register_schema(1, 1, V1)
+    rows = spark.createDataFrame([(1, "a", 1.0)], "uid long, event_type string, value double")
+    store.append(1, 1, rows)
+    out = []
+    for name, (ask, _) in _REFUSED.items():
+        try:
+            ask(store, rows)
+            out.append((name, "OK"))
+        except StoreError as e:
+            out.append((name, e.code))
+    return spark.createDataFrame(out, "request string, status string")
