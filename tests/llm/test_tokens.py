@@ -84,6 +84,28 @@ def test_chunk_maps(counter, x):
         token_counts.CHUNK = before
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["un", "token", "iz", "ation", "s", "x", "qq", "e", "é", "ß", "the", "ing"]), min_size=1, max_size=40).map("".join), st.integers(1, 9), st.integers(0, 4))
+def test_state_maps(counter, word, segment, before):
+    t, data = counter.transducer, word.encode()
+    want = t.count(data)
+    assert want == len(LIBRARY.encode(word, add_special_tokens=False).ids)
+    kept = token_counts.SEGMENT, token_counts.BEFORE
+    token_counts.SEGMENT, token_counts.BEFORE = segment, before
+    try:
+        assert t.count(data) == want
+        maps = [t.map_of(data, i) for i in range(0, len(data), segment)]
+        ends = [t.run(0, data[: i + segment]) for i in range(0, len(data), segment)]
+        assert [m(0) for m in token_counts.prefix_scan(maps, token_counts.StateMap.then)] == ends
+    finally:
+        token_counts.SEGMENT, token_counts.BEFORE = kept
+
+
+def test_a_long_word(counter):
+    word = "".join(map(chr, np.random.default_rng(2).integers(97, 123, 60_000)))
+    assert counter.count(word) == len(LIBRARY.encode(word, add_special_tokens=False).ids)
+
+
 def test_scan_is_associative():
     then = lambda a, b: a + b
     parts = list("abcdefghijk")

@@ -14,11 +14,17 @@ That tuple is a state.  The last byte of a pre-token is a symbol of its own
 (it carries the word end) and has its own transitions, which end in the start
 state.  States and transitions are made when a text first needs them.
 
-Chunks.  White space always brings the transducer to its start state.  The map
-of a chunk is therefore known but for what stands before its first and after
-its last white space: (head, count, tail), or the chunk itself if it holds
-none.  These maps compose associatively; a long text is cut into chunks whose
-maps go through a parallel prefix scan.
+Chunks of bytes.  A long pre-token is cut into segments.  A segment's map takes
+a state to the state after it and the tokens added; the entries first made are
+for the state that the bytes just before lead to from the start, which is nearly
+always the right one, others when asked for.  Maps compose associatively, in
+pairs, in any grouping.
+
+Chunks of text.  Normalization and the pre-tokens' pattern look across bytes, so
+texts are cut as characters: white space always brings the transducer to its
+start state, and a chunk's map is known but for what stands before its first and
+after its last white space: (head, count, tail), or the chunk itself if it holds
+none.  These maps go through the same scan.
 """
 
 from __future__ import annotations
@@ -37,7 +43,30 @@ from tidemark.llm.pretokens import Cache, PreTokens, lower_words_narrow
 
 #: Characters of a text beyond which it is counted in chunks, and characters of a chunk.
 CHUNK = 1 << 15
-ROOT = 0
+#: Bytes of a segment of a pre-token, and bytes before it that foretell its entering state.
+SEGMENT, BEFORE = 1 << 12, 32
+ROOT = START = 0
+
+
+class StateMap:
+    """Entering state to (leaving state, tokens added); entries beyond ``known`` are made by ``make``."""
+
+    def __init__(self, known: dict[int, tuple[int, int]], make: Callable[[int], tuple[int, int]]) -> None:
+        self.known, self.make = known, make
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        found = self.known.get(state)
+        if found is None:
+            found = self.known[state] = self.make(state)
+        return found
+
+    def then(self, other: StateMap) -> StateMap:
+        def make(state: int) -> tuple[int, int]:
+            between, first = self(state)
+            last, second = other(between)
+            return last, first + second
+
+        return StateMap({state: make(state) for state in self.known}, make)
 
 
 class Transducer:
@@ -140,14 +169,28 @@ class Transducer:
         """Tokens of one pre-token: the sum along its path."""
         if len(self.step) > self.most:
             self._clear()
-        state = total = 0
-        step, end = self.step, self.end
-        for byte in word[:-1]:
+        body = word[:-1]
+        if len(body) <= SEGMENT:
+            state, total = self.run(START, body)
+        else:
+            state, total = reduced([self.map_of(body, i) for i in range(0, len(body), SEGMENT)], StateMap.then)(START)
+        last = self.end.get(state << 8 | word[-1])
+        return total + (last if last is not None else self._make_end(state, word[-1]))
+
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state after ``data`` and the tokens that it adds."""
+        total, step = 0, self.step
+        for byte in data:
             found = step.get(state << 8 | byte)
             state, added = found if found is not None else self._make_step(state, byte)
             total += added
-        last = end.get(state << 8 | word[-1])
-        return total + (last if last is not None else self._make_end(state, word[-1]))
+        return state, total
+
+    def map_of(self, word: bytes, start: int) -> StateMap:
+        """The map of the segment of ``word`` that begins at ``start``."""
+        data = word[start : start + SEGMENT]
+        likely = self.run(START, word[max(0, start - BEFORE) : start])[0]
+        return StateMap({likely: self.run(likely, data)}, lambda state: self.run(state, data))
 
 
 @dataclass(frozen=True)
