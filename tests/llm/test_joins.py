@@ -235,22 +235,45 @@ def test_fingerprint_rows(spark):
 
 
 
-def test_chroma_aligns_far_ids(spark, tmp_path):
+@pytest.mark.parametrize("hot", [0.001, 0.2])
+def test_chroma_aligns_queries_with_all(spark, tmp_path, monkeypatch, hot):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(size=64) * 0.12]) for i in range(40)]
-    rows += [(900, rows[2][1][8:] + rows[30][1][:8]), (901, rows[7][1]), (902, None), (903, [])]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    block, chroma.BLOCK = chroma.BLOCK, 2000
-    try:
-        found = {r.vec_id: r for r in chroma.op3_chroma(spark, str(tmp_path)).collect()}
-    finally:
-        chroma.BLOCK = block
-    ints = {i: chroma.pack(chroma.chroma(*chroma.played(np.float32(v).tolist()))) for i, v in rows if v}
-    for i in range(40):
-        others = {j: chroma.align(ints[i], ints[j]) for j in ints if j not in (i, 901)}
+    rows = [(i, [float(x) for x in rng.normal(size=64) * 0.12]) for i in range(45)]
+    rows += [(900, rows[2][1][8:] + rows[30][1][:8]), (901, rows[7][1]), (902, None), (903, []), (905, rows[20][1][5:]), (906, rows[20][1][4:] + rows[3][1][:6]), (920, None)]
+    rows += [(i, rows[9][1]) for i in (*range(950, 970), 980)] + [(None, rows[9][1]), (None, None), (40, rows[40][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(chroma, "BLOCK", 2000)
+    monkeypatch.setattr(chroma, "HOT", hot)
+    got = chroma.op3_chroma(spark, str(tmp_path)).collect()
+    assert sorted(-1 if r.vec_id is None else r.vec_id for r in got) == sorted(-1 if i is None else i for i, _ in rows)
+    found = {r.vec_id: r for r in got}
+    ints = {i: chroma.pack(chroma.chroma(*chroma.played(np.float32(v).tolist()))) for i, v in rows if v and i is not None}
+    first = {}
+    for i in sorted(ints):
+        first.setdefault(ints[i].tobytes(), i)
+    asked = {}
+    for i in sorted(ints):
+        if i % 20 == 0:
+            asked.setdefault(ints[i].tobytes(), i)
+    for i in found:
+        if i is None:
+            continue
+        assert found[i].copy_of == (first[ints[i].tobytes()] if i in ints and len(ints[i]) else i)
+        if i not in ints or asked.get(ints[i].tobytes()) != i:
+            assert found[i].aligned is None
+            continue
+        others = {j: chroma.align(ints[i], ints[j]) for j in first.values() if j != first[ints[i].tobytes()]}
         assert [(x.copy_of, x.offset, x.bit_error) for x in found[i].aligned] == sorted((j, *f) for j, f in others.items() if f)
-    assert 2 in [x.copy_of for x in found[900].aligned] and found[901].copy_of == 7 and found[901].aligned == found[7].aligned
-    assert found[902].aligned == found[903].aligned == []
+    assert {905, 906} <= {x.copy_of for x in found[20].aligned} and found[901].copy_of == 7
+    assert found[960].copy_of == 9 and found[960].aligned is not None and found[980].aligned is None
+    assert [r.copy_of for r in got if r.vec_id is None and r.n_ints] == [9]
+    ahead = {i: chroma.align(ints[i], ints[i + 1]) for i in range(44)}
+    assert all((found[i].offset, found[i].bit_error) == (ahead[i] or (None, None)) for i in range(40))
+
+
+def test_chroma_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, copy_of string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert chroma.op3_chroma(spark, str(tmp_path)).collect() == []
 
 
 def test_align_blocks_is_align_over_all_pairs(monkeypatch):

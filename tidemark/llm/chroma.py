@@ -9,9 +9,10 @@ for each position.
 
 Two fingerprints align at the offset at which most positions have integers in
 common (by the leading bits); the share of bits that differ there tells how
-alike they are.  Over a table every fingerprint meets every other one: distinct
-fingerprints are dealt into blocks by hash, and for each pair of blocks sorted
-leading bits give all positions in common, which are counted by pair and offset.
+alike they are.  Over a table a stated set of queries meets every other
+fingerprint: distinct ones, and those that ask, are dealt into blocks by hash,
+and for each block of either sort sorted leading bits give all positions in
+common, which are counted by pair and offset.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import plus, table, written
@@ -36,7 +37,9 @@ EDGES = (-0.12, 0.0, 0.12)
 #: Leading bits by which positions are paired.
 LEADING = 20
 #: Bytes of fingerprints in a block, about, and matching positions that are counted together.
-BLOCK, MATCHES = 400_000, 4_000_000
+BLOCK, MATCHES = 2_000_000, 4_000_000
+#: A fingerprint of at least this share of the rows is looked up from a broadcast, which so has no more rows than its inverse.
+HOT = 0.001
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -197,39 +200,62 @@ def align_blocks(left: list[np.ndarray], right: list[np.ndarray], least: int = 4
     return [(int(x) % len(left), int(x) // len(left)) for x in np.concatenate(found)]
 
 
-def align_all(made: DataFrame, key: str) -> DataFrame:
-    """_h (SHA-256 of ``ints``), copy_of (the smallest ``key``) and aligned for each fingerprint that isn't empty.
+def copies(made: DataFrame, key: str, is_query: Column) -> DataFrame:
+    """A row for each fingerprint that isn't empty: ints, copy_of (the smallest ``key``), asks (the smallest of a query; null: none), n; written."""
+    some = made.where(F.length("ints") > 0)
+    return written(some.groupBy("ints").agg(F.min(key).alias("copy_of"), F.min(F.when(is_query, F.col(key))).alias("asks"), F.count("*").alias("n")), "distinct")
+
+
+def align_queries(distinct: DataFrame) -> DataFrame:
+    """asks, _h (SHA-256 of ``ints``) and aligned for each of the ``copies`` that asks and aligns with another one.
 
     ``aligned`` lists copy_of, offset and bit_error of all other fingerprints
-    that align with it, wherever they stand.  Each pair of blocks is a row of
-    its own, so the work is spread; it grows with the square of the number of
-    distinct fingerprints, as pairs do.
+    that align with it, wherever they stand.  A block of queries meets a block
+    of all by the numbers of both, each pair in a row of its own, so the work
+    is spread; it is that of the queries times that of the fingerprints.
     """
-    distinct = written(made.where(F.length("ints") > 0).groupBy("ints").agg(F.min(key).alias("copy_of")), "distinct")
-    n = -(-(distinct.agg(F.sum(F.length("ints"))).first()[0] or 0) // BLOCK) or 1
-    block = F.pmod(F.xxhash64("ints"), F.lit(n)).alias("block")
-    blocks = written(distinct.groupBy(block).agg(F.collect_list(F.struct("copy_of", "ints")).alias("all")).repartition(min(n, 1000), "block"), "blocks")
-    left, right = (blocks.select(F.col("block").alias(i), F.col("all").alias(side)) for i, side in (("i", "left"), ("j", "right")))
-    kind = made.schema[key].dataType.simpleString()
+    size = F.length("ints")
+    whole, asking = (max(1, -(-(x or 0) // BLOCK)) for x in distinct.agg(F.sum(size), F.sum(F.when(F.col("asks").isNotNull(), size))).first())
+
+    def blocks(rows: DataFrame, n: int, name: str, other: int, across: str) -> DataFrame:
+        """Blocks by number, each once for every block of the other side."""
+        dealt = rows.groupBy(F.pmod(F.xxhash64("ints"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("copy_of", "asks", "ints")).alias(f"in_{name}"))
+        return dealt.withColumn(across, F.explode(F.sequence(F.lit(0), F.lit(other - 1)).cast("array<long>")))
+
+    pairs = blocks(distinct.where(F.col("asks").isNotNull()), asking, "i", whole, "j").join(blocks(distinct, whole, "j", asking, "i"), ["i", "j"])
+    kind = distinct.schema["copy_of"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                i, j, *sides = (batch.column(k)[row].as_py() for k in range(4))
-                ids = [[x["copy_of"] for x in side] for side in sides]
-                ints = [[np.frombuffer(x["ints"], "<u4") for x in side] for side in sides]
+                mine, theirs = (batch.column(k)[row].as_py() for k in range(2))
+                ints = [[np.frombuffer(x["ints"], "<u4") for x in side] for side in (mine, theirs)]
                 out = []
                 for a, b in align_blocks(*ints):
-                    if i == j and a >= b:
-                        continue
-                    for mine, other, theirs in ((ints[0][a], ints[1][b], ids[1][b]), (ints[1][b], ints[0][a], ids[0][a])):
-                        out.append((hashlib.sha256(mine.tobytes()).hexdigest(), theirs, *align(mine, other)))
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], batch.schema.field(2).type.value_type.field("copy_of").type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], names=["_h", "copy_of", "offset", "bit_error"])
+                    if mine[a]["ints"] != theirs[b]["ints"]:
+                        out.append((mine[a]["asks"], hashlib.sha256(mine[a]["ints"]).hexdigest(), theirs[b]["copy_of"], *align(ints[0][a], ints[1][b])))
+                id_type = batch.schema.field(0).type.value_type.field("copy_of").type
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (id_type, pa.string(), id_type, pa.int32(), pa.float64()), strict=True)], names=["asks", "_h", "copy_of", "offset", "bit_error"])
+
+    found = pairs.select("in_i", "in_j").mapInArrow(run, f"asks {kind.simpleString()}, _h string, copy_of {kind.simpleString()}, offset int, bit_error double")
+    return found.groupBy("asks", "_h").agg(F.sort_array(F.collect_list(F.struct("copy_of", "offset", "bit_error"))).alias("aligned"))
 
-    found = left.join(right, F.col("i") <= F.col("j")).select("i", "j", "left", "right").mapInArrow(run, f"_h string, copy_of {kind}, offset int, bit_error double")
-    lists = found.groupBy("_h").agg(F.sort_array(F.collect_list(F.struct("copy_of", "offset", "bit_error"))).alias("aligned"))
-    return distinct.select(F.sha2("ints", 256).alias("_h"), "copy_of").join(lists, "_h", "left")
+
+def with_copies(made: DataFrame, key: str, distinct: DataFrame) -> DataFrame:
+    """``made`` and _h, copy_of; an empty fingerprint is nobody's copy.
+
+    Fingerprints of a share ``HOT`` of the rows or more, 1 / ``HOT`` of them at
+    most, are looked up from a broadcast; their rows and those of empty ones
+    are spread by their keys in the join with the others.
+    """
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    known = distinct.select(F.sha2("ints", 256).alias("_known"), F.col("copy_of").alias("_first"), "n")
+    hot = known.where(F.col("n") >= HOT * total).select(F.col("_known").alias("_hot"), F.col("_first").alias("_hot_first"))
+    rows = made.withColumn("_h", F.sha2("ints", 256)).join(F.broadcast(hot), F.col("_h") == F.col("_hot"), "left")
+    spread = F.when(F.col("_hot").isNotNull() | (F.length("ints") == 0), F.concat(F.lit("-"), F.coalesce(F.col(key).cast("string"), F.lit("")))).otherwise(F.col("_h"))
+    rows = rows.join(known.drop("n"), spread == F.col("_known"), "left")
+    return rows.withColumn("copy_of", F.coalesce("_hot_first", "_first", key)).drop("_hot", "_hot_first", "_known", "_first")
 
 
 def pcm16(value: bytes, rate: int = RATE) -> tuple[np.ndarray, int]:
@@ -252,21 +278,27 @@ def played(vector: list[float | None]) -> tuple[np.ndarray, int]:
 
 
 def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all ``embeddings``, played as sound, aligned with all others of the table and with the successor's.
+    """Fingerprints of all ``embeddings``, played as sound; those of ids divisible by 20 aligned with all others, and each with its successor's.
 
     vec_id, n_frames, n_ints, fp_crc32, copy_of (the smallest id with the same
     fingerprint; an empty one is nobody's copy), next_id (vec_id + 1, null if
-    there is none), offset, bit_error (both against next_id), aligned (copy_of,
-    offset and bit_error of every other fingerprint that aligns with this one;
-    empty if none does).
-    """
+    there is none), offset, bit_error (both against next_id), aligned.
 
+    ``aligned`` lists copy_of, offset and bit_error of every other fingerprint
+    of the table that aligns with this one; it stands at the smallest id
+    divisible by 20 of each fingerprint, empty if none aligns, and is null at
+    all other rows: copies share copy_of, so their list is found by it.
+    """
     made = written(fingerprints(table(spark, sf_dir, "embeddings"), played, "vec_id", "embedding"), "fingerprints")
-    hashed = F.sha2("ints", 256)
+    distinct = copies(made, "vec_id", F.col("vec_id") % 20 == 0)
+    lists = align_queries(distinct).withColumnsRenamed({"_h": "_asked", "asks": "_asks"})
+    asking = distinct.where(F.col("asks").isNotNull()).select("asks", F.sha2("ints", 256).alias("_h"))
+    lists = asking.join(lists, (F.col("asks") == F.col("_asks")) & (F.col("_h") == F.col("_asked")), "left").select(F.col("asks").alias("_asks"), F.col("_h").alias("_asked"), F.coalesce("aligned", F.array().cast(lists.schema["aligned"].dataType)).alias("aligned"))
     after = made.groupBy((F.col("vec_id") - 1).alias("_before")).agg(F.min("ints").alias("next"))
-    pairs = made.join(after, F.col("vec_id") == F.col("_before"), "left").join(align_all(made, "vec_id"), hashed == F.col("_h"), "left")
-    done = align_pairs(pairs.drop("_before", "_h"), "ints", "next")
+    rows = with_copies(made, "vec_id", distinct).join(after, F.col("vec_id") == F.col("_before"), "left")
+    rows = rows.join(lists, (F.col("vec_id") == F.col("_asks")) & (F.col("_h") == F.col("_asked")), "left")
+    done = align_pairs(rows.drop("_before", "_h", "_asks", "_asked"), "ints", "next")
     return done.select(
-        "vec_id", "n_frames", F.floor(F.length("ints") / 4).cast("int").alias("n_ints"), F.crc32("ints").alias("fp_crc32"), F.coalesce("copy_of", "vec_id").alias("copy_of"),
-        F.when(F.col("next").isNotNull(), F.col("vec_id") + 1).alias("next_id"), "offset", "bit_error", F.coalesce("aligned", F.array().cast("array<struct<copy_of:bigint,offset:int,bit_error:double>>")).alias("aligned"),
+        "vec_id", "n_frames", F.floor(F.length("ints") / 4).cast("int").alias("n_ints"), F.crc32("ints").alias("fp_crc32"), "copy_of",
+        F.when(F.col("next").isNotNull(), F.col("vec_id") + 1).alias("next_id"), "offset", "bit_error", "aligned",
     )
