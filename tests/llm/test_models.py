@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -167,13 +168,39 @@ def test_scores(spark):
 
 
 def test_scores_are_a_distribution(spark):
-    """Over all next words and one unknown, and the end, after nothing: the probabilities of one-token texts sum to one."""
+    """All texts of up to five words, with one unknown, have probabilities that sum to one but for those of longer texts."""
     rng = random.Random(0)
-    train = [(i, " ".join(rng.choices("a b c d e f g".split(), k=rng.randint(0, 6)))) for i in range(1, 60)]
-    docs = spark.createDataFrame([*train, (1000, ""), *((1001 + i, w) for i, w in enumerate([*"abcdefg", "unknown"]))], "doc_id long, text string")
+    train = [(i, " ".join(rng.choices("abcd", (5, 3, 2, 1), k=rng.choice((0, 1, 1, 2, 2, 2))))) for i in range(1, 400)]
+    texts = [" ".join(t) for k in range(6) for t in itertools.product(["a", "b", "c", "d", "unknown"], repeat=k)]
+    docs = spark.createDataFrame([*train, *((1000 + i, t) for i, t in enumerate(texts))], "doc_id long, text string")
     found = {r.doc_id: r.score for r in context_mixing.score(docs, F.col("doc_id") < 1000).collect()}
-    assert sum(10 ** found[k] for k in range(1000, 1009)) < 1  # words are followed by an end
-    assert 10 ** found[1000] > 0
+    assert 0.99 < sum(10 ** found[1000 + i] for i in range(len(texts))) < 1 + 1e-4
+    assert sum(10 ** found[1000 + i] for i, t in enumerate(texts) if len(t.split()) < 2) < 0.9
+
+
+def test_best_codes_are_those_of_plain_counts():
+    rng = random.Random(5)
+    seen = {(rng.randrange(40) << 5 | rng.randrange(3), rng.randrange(context_mixing.CODES)): rng.choice((0, 0, 1, 1, 2, 9)) for _ in range(300)}
+    asked = sorted(seen)
+    odds, best = context_mixing.best_codes(np.array([k << context_mixing.CODE | c for k, c in asked], np.uint64), np.array([seen[x] for x in asked]))
+    for i, (key, _) in enumerate(asked):
+        mine = {c: n for (k, c), n in seen.items() if k == key}
+        top, total = max(mine.values()), sum(mine.values())
+        if not total:
+            assert odds[i] == context_mixing._NONE
+            continue
+        assert best[i] == min(c for c, n in mine.items() if n == top)
+        assert abs(odds[i] * context_mixing._STEP - math.log((top + 0.4) / (total - top + 0.4))) <= 0.051
+    assert [len(x) for x in context_mixing.best_codes(np.zeros(0, np.uint64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_words_are_predicted_by_the_two_before(spark):
+    """Of words of one class with equal counts, the one that followed the two previous words is likelier."""
+    words = [f"w{i}" for i in range(60)]
+    train = [(-1, f"x{i % 6} y{i // 6 % 10} {w}") for i, w in enumerate(words)] * 8
+    docs = spark.createDataFrame([*train, *((i, f"x{i % 6} y{i // 6 % 10} {w}") for i, w in enumerate(words)), *((100 + i, f"x{i % 6} y{i // 6 % 10} {words[(i + 7) % 60]}") for i in range(60))], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in context_mixing.score(docs, F.col("doc_id") < 0).where("held_out").collect()}
+    assert min(found[i] - found[100 + i] for i in range(60)) > 0.5
 
 
 def test_contexts_of_a_large_vocabulary_stay_apart(spark):

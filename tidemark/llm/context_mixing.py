@@ -1,9 +1,12 @@
 """Language-model scores by online logistic context mixing.
 
-A token is coded by binary decisions and then by its share of a class.  Five
-decisions walk down a tree to the token's class: the end, the rare words (with
-the unknown one), the middling words, or one of the clusters of common words.
-Within a class a word has its share of the class's smoothed count.
+A token is coded by binary decisions and then by its share of what they leave.
+Five decisions walk down a tree to the token's class: the end, the rare words
+(with the unknown one), the middling words, or one of the clusters of common
+words.  Words of a class have codes, bits of their hashes.  The sixth decision
+is whether the word has the code that most often followed the two previous
+words in this class; it is skipped where none did.  Among the words that the
+decisions leave a word has its share of their smoothed count.
 
 Each decision is predicted by several contexts (none, the previous class, the
 previous word, the last two frequent words, the two previous words), by how
@@ -11,6 +14,8 @@ often each bit followed.  The predictions are stretched (log odds), mixed, and
 squashed.  The gate selects the weights: by the decision's depth, by whether the
 previous word is a common one, and by whether the two previous words were seen.
 After each decision the weights move along the gradient of the coding cost.
+The sixth has inputs of its own: the code's share of the class, how often it
+followed, and whether the last such decision of the text held.
 Weights start anew every ``SEGMENT`` tokens, so segments are scored side by
 side; contexts reach across.
 
@@ -45,20 +50,28 @@ from tidemark.llm.common import drop_written, fold, mix, released, slices, table
 #: Words that every task knows, words with a cluster, and words that clusters are named after.
 COMMON, CORE, ANCHORS, FREQUENT = 1 << 17, 1 << 13, 16, 256
 DEPTH, NODES = 5, 32
+#: Bits of a word's code within its class, and the lowest of them in its hash.
+CODE, _CODE_AT = 12, 20
+CODES = 1 << CODE
 END, RARE, MIDDLE, FIRST = 0, 1, 2, 3  # classes; clusters begin at FIRST
 CONTEXTS = 5
 #: Places of the contexts that have one each: none, class and mark, two of the frequent words or none, a common word or none.
 PLACES = (0, 1, 65, 65 + (FREQUENT + 1) ** 2)
 SLOTS = PLACES[3] + COMMON + 1
-#: Bits below a context's key in a request: the class that followed, and whether in training.
-_LOW = 6
+#: Bits below a context's key in an entry: the class and (after two words) the code that followed, and whether the key is of one word.
+_LOW_ONE, _LOW_TWO = 1 + DEPTH, 1 + DEPTH + CODE
+#: Bits of an entry; a request has one more, whether in training.
+_ENTRY = 63
 #: Bytes of text in a chunk, and training tokens for each part of the keys.
 _CHUNK, _PART = 1 << 22, 1 << 21
 SEGMENT, RATE, START = 1024, 0.02, 0.3
 #: Weight sets: by whether the previous class is one of rare or middling words, and whether the two previous words are known.
 GATES = 4
-#: Log odds are answered in steps of this.
+#: Log odds are answered in steps of this; ``_NONE``: no code ever followed.
 _STEP = 0.1
+_NONE = -128
+#: The first weights of the sixth decision: of the code's share, of 1, of the last such decision, and of how often it followed.
+SHARE, BIAS, LAST, FOLLOWED = 0.0, -0.5, 0.5, 1.0
 #: Bytes of text that are worked on together; the arrays for them take some sixty times that.
 _SLICE = 1 << 20
 #: Of each word, the mass that a word never seen has.
@@ -67,7 +80,10 @@ PRIOR = 0.1
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Common words by rising hash: ``hashes``, ``counts``, ``rank`` (0: the most frequent), ``cluster`` (-1: none)."""
+    """Common words by rising hash: ``hashes``, ``counts``, ``rank`` (0: the most frequent), ``cluster`` (-1: none).
+
+    ``rare``: the smoothed mass of the other training words by code.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -76,6 +92,7 @@ class Vocabulary:
     tokens: int
     types: int
     documents: int
+    rare: np.ndarray
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word, -1 if it isn't common."""
@@ -84,15 +101,15 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def masses(self) -> np.ndarray:
-        """Smoothed mass of each class over the words known and one unknown word."""
-        out = np.zeros(NODES)
-        classes = self.classes(np.arange(len(self.hashes)))
-        np.add.at(out, classes, self.counts + PRIOR)
-        known = int(self.counts.sum())
-        out[RARE] += self.tokens - self.documents - known + PRIOR * (self.types - bool(self.documents) - len(self.hashes) + 1)
-        out[END] = self.documents + PRIOR
-        return out
+    def masses(self) -> tuple[np.ndarray, np.ndarray]:
+        """Smoothed mass of each class and code over the words known, and of each class with the end and one unknown word."""
+        out = np.zeros((NODES, CODES))
+        np.add.at(out, (self.classes(np.arange(len(self.hashes))), codes(self.hashes)), self.counts + PRIOR)
+        out[RARE] += self.rare
+        whole = out.sum(axis=1)
+        whole[RARE] += PRIOR
+        whole[END] = self.documents + PRIOR
+        return out, whole
 
     def classes(self, places: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -101,6 +118,11 @@ class Vocabulary:
         return np.where(places < 0, RARE, np.where(cluster < 0, MIDDLE, FIRST + cluster))
 
 
+def codes(hashes: np.ndarray) -> np.ndarray:
+    """The code of each word within its class."""
+    return (hashes >> np.uint64(_CODE_AT) & np.uint64(CODES - 1)).astype(np.int64)
+
+
 class Tokens:
     """A batch's tokens end to end: each text's words and then its end."""
 
@@ -150,28 +172,25 @@ def _after_rare(tokens: Tokens, places: np.ndarray) -> np.ndarray:
 
 
 def _word_key(hashes: np.ndarray) -> np.ndarray:
-    """Key of the context of one previous word."""
-    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(_LOW) | np.uint64(1)
+    """Key of the context of one previous word: 57 bits, a word's own."""
+    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - _ENTRY + _LOW_ONE)
 
 
-def keys(tokens: Tokens, slots: int) -> np.ndarray:
-    """Keys of 58 bits of each token's previous word and two previous words, two rows.
+def _entries(tokens: Tokens, places: np.ndarray, classes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is asked, for tokens after rare words and for all tokens: a context's key and what followed.
 
-    A word's key is odd and its own.  Pairs of words are hashed to ``slots``
-    bits, the leading ones of an even key.
+    After one word, an odd entry: the word's key and the class.  After two, an
+    even one: the pair's slot, the first ``slots`` bits, the class and the code.
     """
     none = np.uint64(1)
     previous = _before(tokens.hashes, tokens.starts, none)
     two = _before(previous, tokens.starts, none)
-    low = np.uint64(64 - _LOW - slots)
+    after = _after_rare(tokens, places)
+    followed = classes.astype(np.uint64)
     with np.errstate(over="ignore"):
-        return np.stack([_word_key(previous), mix(mix(previous) * np.uint64(3) + mix(two) * np.uint64(5)) >> np.uint64(64 - slots) << low])
-
-
-def _entries(tokens: Tokens, places: np.ndarray, classes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """What is asked: a context's key and the class that followed; for tokens after rare words, and for all tokens."""
-    one, two = keys(tokens, slots) << np.uint64(DEPTH) | classes.astype(np.uint64)
-    return one[_after_rare(tokens, places)], two
+        slot = mix(mix(previous) * np.uint64(3) + mix(two) * np.uint64(5)) >> np.uint64(64 - slots) << np.uint64(_ENTRY - slots)
+    one = _word_key(previous[after]) << np.uint64(_LOW_ONE) | followed[after] << np.uint64(1) | np.uint64(1)
+    return one, slot | followed << np.uint64(1 + CODE) | codes(tokens.hashes).astype(np.uint64) << np.uint64(1)
 
 
 def _paths(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,12 +200,13 @@ def _paths(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, bits
 
 
-def mixed_cost(stretched: np.ndarray, bits: np.ndarray, gates: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def mixed_cost(stretched: np.ndarray, bits: np.ndarray, gates: np.ndarray, lengths: np.ndarray, starts: np.ndarray, first_weights: np.ndarray | float = START) -> np.ndarray:
     """Natural log probability of each token's decisions.
 
-    ``stretched`` (tokens, depth, contexts), ``bits`` (tokens, depth), ``gates``
-    (tokens): the weight set.  Texts are cut into segments, all of which take
-    the same step together; each has weights of its own.
+    ``stretched`` (tokens, depth, contexts), ``bits`` (tokens, depth; -1: no
+    such decision, its ``stretched`` are 0), ``gates`` (tokens): the weight set.
+    Texts are cut into segments, all of which take the same step together; each
+    has weights of its own, which begin as ``first_weights``.
     """
     total = np.zeros(len(bits))
     pieces = -(-lengths // SEGMENT)
@@ -194,7 +214,8 @@ def mixed_cost(stretched: np.ndarray, bits: np.ndarray, gates: np.ndarray, lengt
     size = np.minimum(SEGMENT, np.repeat(starts + lengths, pieces) - first)
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
-    weights = np.full((len(first), GATES, DEPTH, stretched.shape[2]), START, np.float32)
+    weights = np.empty((len(first), GATES, *stretched.shape[1:]), np.float32)
+    weights[:] = first_weights
     for step in range(int(size.max(initial=0))):
         live = int(np.searchsorted(-size, -step, "left"))  # segments longer than step
         at = first[:live] + step
@@ -203,7 +224,7 @@ def mixed_cost(stretched: np.ndarray, bits: np.ndarray, gates: np.ndarray, lengt
         logit = np.clip((w * x).sum(axis=2), -12, 12)
         p = 1 / (1 + np.exp(-logit))
         bit = bits[at]
-        total[at] = np.log(np.where(bit == 1, p, 1 - p)).sum(axis=1)
+        total[at] = np.log(np.where(bit == 1, p, np.where(bit == 0, 1 - p, 1))).sum(axis=1)
         weights[rows, gate] = w + RATE * (bit - p)[:, :, None] * x
     return total
 
@@ -291,7 +312,7 @@ def _clusters(training: DataFrame, text: str, vocabulary: Vocabulary) -> Vocabul
     share = seen / np.maximum(seen.sum(axis=0, keepdims=True), 1)
     best = share.argmax(axis=1)
     cluster = np.where(vocabulary.rank < CORE, best[np.minimum(vocabulary.rank, CORE - 1)], -1)
-    return Vocabulary(vocabulary.hashes, vocabulary.counts, vocabulary.rank, cluster, vocabulary.tokens, vocabulary.types, vocabulary.documents)
+    return Vocabulary(vocabulary.hashes, vocabulary.counts, vocabulary.rank, cluster, vocabulary.tokens, vocabulary.types, vocabulary.documents, vocabulary.rare)
 
 
 def _tables(training: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarray:
@@ -370,7 +391,7 @@ def _sums(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predictions(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For entries (a key, ``DEPTH`` bits of class), rising, of which ``n`` times were in training: the log odds of the
+    """For a key and ``DEPTH`` bits of class, rising, each of which ``n`` times was in training: the log odds of the
     decisions on the way to the class (depth, entries), in steps, and how often the key was there."""
     total = np.concatenate([[0], np.cumsum(n)])
 
@@ -391,8 +412,23 @@ def predictions(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, key
 
 
+def best_codes(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a key and class with a code below, rising, of which ``n`` times were in training: the log odds, in steps, that
+    the code is the most frequent one of its key and class (``_NONE``: none was there), and that code, the smallest of equals."""
+    first = _runs(entries >> np.uint64(CODE))
+    if not len(first):
+        return np.zeros(0, np.int8), np.zeros(0, np.int64)
+    total = np.add.reduceat(n, first)
+    top = np.maximum.reduceat(n << CODE | CODES - 1 - (entries & np.uint64(CODES - 1)).astype(np.int64), first)
+    count, best = top >> CODE, CODES - 1 - (top & CODES - 1)
+    odds = np.clip(np.rint(np.log((count + 0.4) / (total - count + 0.4)) / _STEP), _NONE + 1, 127)
+    size = np.diff(np.append(first, len(entries)))
+    return np.repeat(np.where(total > 0, odds, _NONE).astype(np.int8), size), np.repeat(best, size)
+
+
 def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int, slots: int) -> DataFrame:
-    """chunk, part, and for each entry of the chunk in that part, rising, its predictions; for each word its total.
+    """chunk, part, and for each entry of the chunk in that part, rising, its predictions; for each word its total; for
+    each pair's entry the log odds of the best code, and 0 if it is the entry's own or else 1 more than it.
 
     A part is the keys with the same leading ``bits``.  Keys are hashes and a
     chunk asks once for an entry, so parts are alike in size, whatever is frequent.
@@ -422,23 +458,29 @@ def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int, slo
         asked = [_from_planes(x.as_py(), "<u8") for x in group["entries"]]
         entries, n = np.concatenate(asked), np.concatenate([_from_planes(x.as_py(), "<u4") for x in group["n"]])
         entries, n = _sums(entries >> np.uint64(1), np.where(entries & np.uint64(1) == 1, n, 0))
-        odds, totals = predictions(entries, n)
+        one = entries & np.uint64(1) == 1
+        odds, totals = np.empty((DEPTH, len(entries)), np.int8), np.zeros(len(entries), np.int64)
+        odds[:, one], totals[one] = predictions(entries[one] >> np.uint64(1), n[one])
+        odds[:, ~one], _ = predictions(entries[~one] >> np.uint64(1 + CODE), n[~one])
+        followed, miss = np.zeros(len(entries), np.int8), np.zeros(len(entries), "<u2")
+        followed[~one], best = best_codes(entries[~one] >> np.uint64(1), n[~one])
+        miss[~one] = np.where(best == (entries[~one] >> np.uint64(1) & np.uint64(CODES - 1)).astype(np.int64), 0, best + 1)
         out = []
         for mine in asked:
             mine = mine >> np.uint64(1)
             at = np.searchsorted(entries, mine[_runs(mine)])
-            words = at[_words(entries[at])]
-            out.append((_shrunk(np.ascontiguousarray(odds[:, at]).tobytes()), _planes(totals[words].astype("<u8"))))
-        return pa.table({"chunk": group["chunk"].cast(pa.int64()), "part": group["part"].cast(pa.int32())} | {name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("odds", "totals"))})
+            words, pairs = at[_words(entries[at])], at[~one[at]]
+            out.append((_shrunk(np.ascontiguousarray(odds[:, at]).tobytes()), _planes(totals[words].astype("<u8")), _shrunk(followed[pairs].tobytes()), _planes(miss[pairs])))
+        return pa.table({"chunk": group["chunk"].cast(pa.int64()), "part": group["part"].cast(pa.int32())} | {name: pa.array([x[k] for x in out], pa.binary()) for k, name in enumerate(("odds", "totals", "followed", "miss"))})
 
     asked = packs.mapInArrow(released(ask), "chunk long, part int, entries binary, n binary")
-    return asked.groupBy("part").applyInArrow(add, "chunk long, part int, odds binary, totals binary")
+    return asked.groupBy("part").applyInArrow(add, "chunk long, part int, odds binary, totals binary, followed binary, miss binary")
 
 
 def _words(entries: np.ndarray) -> np.ndarray:
     """Places of the first entry of each word's context among rising entries."""
-    new = _runs(entries >> np.uint64(DEPTH))
-    return new[entries[new] >> np.uint64(DEPTH) & np.uint64(1) == 1]
+    odd = np.flatnonzero(entries & np.uint64(1))
+    return odd[_runs(entries[odd] >> np.uint64(_LOW_ONE))]
 
 
 class Answer:
@@ -447,12 +489,15 @@ class Answer:
     def __init__(self, entries: np.ndarray, rows: pa.Table) -> None:
         entries = np.sort(entries)
         self.entries = entries[_runs(entries)]
-        self.words = self.entries[_words(self.entries)] >> np.uint64(DEPTH)
+        self.words = self.entries[_words(self.entries)] >> np.uint64(_LOW_ONE)
+        self.pairs = np.flatnonzero(self.entries & np.uint64(1) == 0)
         rows = rows.sort_by("part")
         parts = [np.frombuffer(_grown(x.as_py()), np.int8).reshape(DEPTH, -1) for x in rows["odds"]]
         self.odds = np.ascontiguousarray(np.concatenate([np.zeros((DEPTH, 0), np.int8), *parts], axis=1).T)
         self.totals = np.concatenate([np.zeros(0, "<u8"), *(_from_planes(x.as_py(), "<u8") for x in rows["totals"])])
-        if len(self.odds) != len(self.entries) or len(self.totals) != len(self.words):
+        self.followed = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(_grown(x.as_py()), np.int8) for x in rows["followed"])])
+        self.miss = np.concatenate([np.zeros(0, "<u2"), *(_from_planes(x.as_py(), "<u2") for x in rows["miss"])])
+        if len(self.odds) != len(self.entries) or len(self.totals) != len(self.words) or not len(self.followed) == len(self.miss) == len(self.pairs):
             raise ValueError("a chunk's answers don't fit its entries")
 
     def times(self, hashes: np.ndarray) -> np.ndarray:
@@ -463,6 +508,11 @@ class Answer:
         """The prediction of each decision (tokens, depth) of these entries."""
         return self.odds[np.searchsorted(self.entries, wanted)] * np.float32(_STEP)
 
+    def code(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of these entries of pairs, the log odds in steps of the best code (``_NONE``: none), and 0 if it is the entry's own or 1 more than it."""
+        at = np.searchsorted(self.entries[self.pairs], wanted)
+        return self.followed[at], self.miss[at].astype(np.int64)
+
 
 # Scoring
 
@@ -482,19 +532,26 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     documents = training.count()
     words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = counts.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    by_code = counts.groupBy(F.shiftrightunsigned("h", _CODE_AT).bitwiseAND(CODES - 1).cast("int").alias("code")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
     drop_written(counts)
     hashes, n = common["h"].to_numpy().astype(np.int64).view(np.uint64), common["c"].to_numpy().astype(np.int64)
     order = np.argsort(hashes)
-    vocabulary = Vocabulary(hashes[order], n[order], np.argsort(np.argsort(-n, kind="stable"), kind="stable")[order], np.full(len(n), -1), words + documents, types + bool(documents), documents)
+    at, rare_counts, rare_types = by_code["code"].to_numpy(), np.zeros(CODES, np.int64), np.zeros(CODES, np.int64)
+    rare_counts[at], rare_types[at] = by_code["c"].to_numpy(), by_code["n"].to_numpy()
+    np.subtract.at(rare_counts, codes(hashes), n)
+    np.subtract.at(rare_types, codes(hashes), 1)
+    vocabulary = Vocabulary(hashes[order], n[order], np.argsort(np.argsort(-n, kind="stable"), kind="stable")[order], np.full(len(n), -1), words + documents, types + bool(documents), documents, rare_counts + PRIOR * rare_types)
     vocabulary = _clusters(training, text, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, _tables(training, text, vocabulary)))
     packs = _packs(docs, text)
-    slots = min(57, max(16, (16 * (words + documents)).bit_length()))
+    slots = min(_ENTRY - _LOW_TWO, max(16, (16 * (words + documents)).bit_length()))
     answers = _answers(packs, text, vocabulary, max(0, ((words + documents) // _PART).bit_length()), slots)
 
     def run(pack: pa.Table, answer: pa.Table) -> pa.Table:
         vocabulary, tables = model.value
-        masses = vocabulary.masses()
+        coded, masses = vocabulary.masses()
+        first_weights = np.full((DEPTH + 1, CONTEXTS), START, np.float32)
+        first_weights[DEPTH] = SHARE, BIAS, LAST, 0, FOLLOWED
         denominator = float(np.log10(vocabulary.tokens + PRIOR * (vocabulary.types + 1)))
         pieces = list(slices(_opened(pack["docs"][0]), text, _SLICE))
         asked = []
@@ -509,21 +566,34 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
             n = batch.num_rows
             slot = contexts(tokens, places, classes, vocabulary)
             nodes, bits = _paths(classes)
-            stretched = np.empty((len(classes), DEPTH, CONTEXTS), np.float32)
+            stretched = np.zeros((len(classes), DEPTH + 1, CONTEXTS), np.float32)
             for k in range(len(slot)):
                 for d in range(DEPTH):
                     stretched[:, d, k] = tables[slot[k], nodes[d]] * np.float32(_STEP)
-            stretched[slot[-1] < 0, :, -2] = answer.stretched(one)
-            stretched[:, :, -1] = answer.stretched(two)
-            gates = (_before(classes, tokens.starts, END) < MIDDLE) + 2 * (stretched[:, 0, -1] != 0)
-            lengths = tokens.ends - tokens.starts + 1
-            cost = mixed_cost(stretched, bits.T, gates, lengths, tokens.starts) / np.log(10)
-            # What a class's words share.
+            stretched[slot[-1] < 0, :DEPTH, -2] = answer.stretched(one)
+            stretched[:, :DEPTH, -1] = answer.stretched(two)
             times = np.where(tokens.is_end, vocabulary.documents, np.where(places >= 0, vocabulary.counts[places] if len(vocabulary.counts) else 0, 0))
             rare = classes == RARE
             times[rare] = answer.times(tokens.hashes[rare])
+            # The sixth decision, where a code followed and leaves others; a word never seen has none of the codes.
+            followed, miss = answer.code(two)
+            best = np.where(miss > 0, miss - 1, codes(tokens.hashes))
+            hit = (miss == 0) & (times > 0)
+            with_code = coded[classes, best]
+            without = masses[classes] - with_code
+            asks = (followed != _NONE) & (classes != END) & (without >= PRIOR / 2)
+            stretched[asks, DEPTH, 0] = np.log(with_code[asks] / without[asks])
+            stretched[asks, DEPTH, 1] = 1
+            stretched[asks, DEPTH, 2] = _last(asks, np.where(hit, 1, -1), tokens, 0)[asks]
+            stretched[asks, DEPTH, 4] = followed[asks] * np.float32(_STEP)
+            left = np.where(asks, np.where(hit, with_code, without), masses[classes])
+            gates = (_before(classes, tokens.starts, END) < MIDDLE) + 2 * (stretched[:, 0, -1] != 0)
+            lengths = tokens.ends - tokens.starts + 1
+            decided = np.concatenate([bits.T, np.where(asks, hit, -1)[:, None]], axis=1)
+            cost = mixed_cost(stretched, decided, gates, lengths, tokens.starts, first_weights) / np.log(10)
+            # What the words that are left share.
             own = np.log10(times + PRIOR)
-            total, base = (np.bincount(tokens.owner, x, n) for x in (cost + own - np.log10(masses[classes]), own - denominator))
+            total, base = (np.bincount(tokens.owner, x, n) for x in (cost + own - np.log10(left), own - denominator))
             known = np.bincount(tokens.owner, times > 0, n).astype(np.int64)
             size = np.diff(text_bytes(batch.column(2))[1])
             rate = pa.array(-total / np.log10(2) / np.maximum(size, 1), mask=size == 0)
