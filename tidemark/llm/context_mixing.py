@@ -51,7 +51,7 @@ from tidemark.llm.common import drop_written, fold, mix, released, slices, table
 COMMON, CORE, ANCHORS, FREQUENT = 1 << 17, 1 << 13, 16, 256
 DEPTH, NODES = 5, 32
 #: Bits of a word's code within its class, and the lowest of them in its hash.
-CODE, _CODE_AT = 12, 20
+CODE, _CODE_AT = 10, 20
 CODES = 1 << CODE
 END, RARE, MIDDLE, FIRST = 0, 1, 2, 3  # classes; clusters begin at FIRST
 CONTEXTS = 5
@@ -63,7 +63,7 @@ _LOW_ONE, _LOW_TWO = 1 + DEPTH, 1 + DEPTH + CODE
 #: Bits of an entry; a request has one more, whether in training.
 _ENTRY = 63
 #: Bytes of text in a chunk, and training tokens for each part of the keys.
-_CHUNK, _PART = 1 << 22, 1 << 21
+_CHUNK, _PART = 1 << 22, 1 << 20
 SEGMENT, RATE, START = 1024, 0.02, 0.3
 #: Weight sets: by whether the previous class is one of rare or middling words, and whether the two previous words are known.
 GATES = 4
@@ -200,33 +200,37 @@ def _paths(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, bits
 
 
-def mixed_cost(stretched: np.ndarray, bits: np.ndarray, gates: np.ndarray, lengths: np.ndarray, starts: np.ndarray, first_weights: np.ndarray | float = START) -> np.ndarray:
+def mixed_cost(stretched: np.ndarray, bits: np.ndarray, gates: np.ndarray, lengths: np.ndarray, starts: np.ndarray, first_weights: np.ndarray | float = START, scale: float = 1.0) -> np.ndarray:
     """Natural log probability of each token's decisions.
 
-    ``stretched`` (tokens, depth, contexts), ``bits`` (tokens, depth; -1: no
-    such decision, its ``stretched`` are 0), ``gates`` (tokens): the weight set.
+    ``stretched`` (tokens, depth, contexts), in units of ``scale``, ``bits``
+    (tokens, depth; -1: no such decision, its ``stretched`` are 0), ``gates``
+    (tokens): the weight set.
     Texts are cut into segments, all of which take the same step together; each
     has weights of its own, which begin as ``first_weights``.
     """
-    total = np.zeros(len(bits))
+    stretched, bits, chance = np.ascontiguousarray(stretched), np.ascontiguousarray(bits), np.ones(len(bits))
     pieces = -(-lengths // SEGMENT)
     first = np.repeat(starts, pieces) + SEGMENT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     size = np.minimum(SEGMENT, np.repeat(starts + lengths, pieces) - first)
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
-    weights = np.empty((len(first), GATES, *stretched.shape[1:]), np.float32)
+    weights = np.empty((len(first) * GATES, *stretched.shape[1:]), np.float32)
     weights[:] = first_weights
+    sets = GATES * np.arange(len(first))
     for step in range(int(size.max(initial=0))):
         live = int(np.searchsorted(-size, -step, "left"))  # segments longer than step
         at = first[:live] + step
-        x, gate, rows = stretched[at], gates[at], np.arange(live)
-        w = weights[rows, gate]
-        logit = np.clip((w * x).sum(axis=2), -12, 12)
+        x, own = stretched.take(at, axis=0) * np.float32(scale), sets[:live] + gates[at]
+        w = weights.take(own, axis=0)
+        logit = np.clip(np.einsum("tdc,tdc->td", w, x), -12, 12)
         p = 1 / (1 + np.exp(-logit))
-        bit = bits[at]
-        total[at] = np.log(np.where(bit == 1, p, np.where(bit == 0, 1 - p, 1))).sum(axis=1)
-        weights[rows, gate] = w + RATE * (bit - p)[:, :, None] * x
-    return total
+        bit = bits.take(at, axis=0)
+        chance[at] = np.where(bit == 1, p, np.where(bit == 0, 1 - p, 1)).prod(axis=1, dtype=float)
+        x *= (np.float32(RATE) * (bit - p))[:, :, None]
+        w += x
+        weights[own] = w
+    return np.log(chance)
 
 
 # Learning
@@ -360,6 +364,17 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_grown(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _steps(rising: np.ndarray) -> bytes:
+    """Rising 64-bit numbers: the leading halves by their steps, which are small."""
+    half = np.uint64(32)
+    return _planes((np.diff(rising >> half, prepend=np.uint64(0)) << half | rising & np.uint64(0xFFFFFFFF)).astype("<u8"))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    x, half = _from_planes(data, "<u8"), np.uint64(32)
+    return np.cumsum(x >> half, dtype=np.uint64) << half | x & np.uint64(0xFFFFFFFF)
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where each run of equal numbers starts."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -405,13 +420,21 @@ def predictions(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndar
     out = np.empty((DEPTH, len(entries)), np.int8)
     for d in range(DEPTH):
         below = level(d + 1)
-        odds = np.log((below + 0.4) / (above - below + 0.4)) / _STEP
+        few = np.float32(0.4)
+        odds = np.log((below.astype(np.float32) + few) / ((above - below).astype(np.float32) + few)) / np.float32(_STEP)
         bit = entries >> np.uint64(DEPTH - 1 - d) & np.uint64(1)
         out[d] = np.clip(np.rint(np.where(bit == 1, odds, -odds)), -127, 127)
         above = below
     return out, key
 
 
+def _own_bits(entries: np.ndarray) -> np.ndarray:
+    """1 or -1 (depth, entries) for the bits of each entry's class: odds times them are those of the own class, which compress well."""
+    one = entries & np.uint64(1) == 1
+    followed = (np.where(one, entries >> np.uint64(1), entries >> np.uint64(1 + CODE)) & np.uint64(NODES - 1)).astype(np.int8)
+    return np.stack([(followed >> (DEPTH - 1 - d) & 1) * 2 - 1 for d in range(DEPTH)]).astype(np.int8)
+
+
 def best_codes(entries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a key and class with a code below, rising, of which ``n`` times were in training: the log odds, in steps, that
     the code is the most frequent one of its key and class (``_NONE``: none was there), and that code, the smallest of equals."""
@@ -450,18 +473,19 @@ def _answers(packs: DataFrame, text: str, vocabulary: Vocabulary, bits: int, slo
                 new = _runs(entries)
                 n, entries = np.diff(np.append(new, len(entries))).astype("<u4"), entries[new]
                 cuts = np.searchsorted(entries >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64)) if bits else np.array([0, len(entries)])
-                rows = [(p, _planes(entries[a:b]), _planes(n[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                rows = [(p, _steps(entries[a:b]), _planes(n[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
                 chunk = batch.column(0)[row].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary())))], names=["chunk", "part", "entries", "n"])
 
     def add(group: pa.Table) -> pa.Table:
-        asked = [_from_planes(x.as_py(), "<u8") for x in group["entries"]]
+        asked = [_from_steps(x.as_py()) for x in group["entries"]]
         entries, n = np.concatenate(asked), np.concatenate([_from_planes(x.as_py(), "<u4") for x in group["n"]])
         entries, n = _sums(entries >> np.uint64(1), np.where(entries & np.uint64(1) == 1, n, 0))
         one = entries & np.uint64(1) == 1
         odds, totals = np.empty((DEPTH, len(entries)), np.int8), np.zeros(len(entries), np.int64)
         odds[:, one], totals[one] = predictions(entries[one] >> np.uint64(1), n[one])
         odds[:, ~one], _ = predictions(entries[~one] >> np.uint64(1 + CODE), n[~one])
+        odds *= _own_bits(entries)
         followed, miss = np.zeros(len(entries), np.int8), np.zeros(len(entries), "<u2")
         followed[~one], best = best_codes(entries[~one] >> np.uint64(1), n[~one])
         miss[~one] = np.where(best == (entries[~one] >> np.uint64(1) & np.uint64(CODES - 1)).astype(np.int64), 0, best + 1)
@@ -484,33 +508,33 @@ def _words(entries: np.ndarray) -> np.ndarray:
 
 
 class Answer:
-    """What a chunk was answered for its ``entries``."""
+    """What a chunk was answered for its ``entries``; ``at`` is the place of each of them among the distinct ones."""
 
     def __init__(self, entries: np.ndarray, rows: pa.Table) -> None:
-        entries = np.sort(entries)
-        self.entries = entries[_runs(entries)]
-        self.words = self.entries[_words(self.entries)] >> np.uint64(_LOW_ONE)
-        self.pairs = np.flatnonzero(self.entries & np.uint64(1) == 0)
+        order = np.argsort(entries)
+        entries = entries[order]
+        new = np.concatenate([[True], entries[1:] != entries[:-1]])[: len(entries)]
+        self.at = np.empty(len(entries), np.int64)
+        self.at[order] = np.cumsum(new) - 1
+        entries = entries[new]
+        words, pair = _words(entries), entries & np.uint64(1) == 0
+        self.words, self.pair = entries[words] >> np.uint64(_LOW_ONE), np.cumsum(pair) - 1
         rows = rows.sort_by("part")
         parts = [np.frombuffer(_grown(x.as_py()), np.int8).reshape(DEPTH, -1) for x in rows["odds"]]
-        self.odds = np.ascontiguousarray(np.concatenate([np.zeros((DEPTH, 0), np.int8), *parts], axis=1).T)
+        self.odds = np.ascontiguousarray((np.concatenate([np.zeros((DEPTH, 0), np.int8), *parts], axis=1) * _own_bits(entries)).T)
         self.totals = np.concatenate([np.zeros(0, "<u8"), *(_from_planes(x.as_py(), "<u8") for x in rows["totals"])])
         self.followed = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(_grown(x.as_py()), np.int8) for x in rows["followed"])])
         self.miss = np.concatenate([np.zeros(0, "<u2"), *(_from_planes(x.as_py(), "<u2") for x in rows["miss"])])
-        if len(self.odds) != len(self.entries) or len(self.totals) != len(self.words) or not len(self.followed) == len(self.miss) == len(self.pairs):
+        if len(self.odds) != len(entries) or len(self.totals) != len(words) or not len(self.followed) == len(self.miss) == pair.sum():
             raise ValueError("a chunk's answers don't fit its entries")
 
     def times(self, hashes: np.ndarray) -> np.ndarray:
         """How often each of these words of the chunk was in training."""
         return self.totals[np.searchsorted(self.words, _word_key(hashes))]
 
-    def stretched(self, wanted: np.ndarray) -> np.ndarray:
-        """The prediction of each decision (tokens, depth) of these entries."""
-        return self.odds[np.searchsorted(self.entries, wanted)] * np.float32(_STEP)
-
-    def code(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of these entries of pairs, the log odds in steps of the best code (``_NONE``: none), and 0 if it is the entry's own or 1 more than it."""
-        at = np.searchsorted(self.entries[self.pairs], wanted)
+    def code(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs' entries at these places, the log odds in steps of the best code (``_NONE``: none), and 0 if it is the entry's own or 1 more than it."""
+        at = self.pair[at]
         return self.followed[at], self.miss[at].astype(np.int64)
 
 
@@ -561,17 +585,19 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
             classes = np.where(tokens.is_end, END, vocabulary.classes(places))
             asked.append((tokens, places, classes, *_entries(tokens, places, classes, slots)))
         answer = Answer(np.concatenate([y for x in asked for y in x[3:]]), answer)
-        out = []
+        out, done = [], 0
         for batch, (tokens, places, classes, one, two) in zip(pieces, asked, strict=True):
             n = batch.num_rows
+            one, two = np.split(answer.at[done : done + len(one) + len(two)], [len(one)])
+            done += len(one) + len(two)
             slot = contexts(tokens, places, classes, vocabulary)
             nodes, bits = _paths(classes)
-            stretched = np.zeros((len(classes), DEPTH + 1, CONTEXTS), np.float32)
+            stretched = np.zeros((len(classes), DEPTH + 1, CONTEXTS), np.int8)
             for k in range(len(slot)):
                 for d in range(DEPTH):
-                    stretched[:, d, k] = tables[slot[k], nodes[d]] * np.float32(_STEP)
-            stretched[slot[-1] < 0, :DEPTH, -2] = answer.stretched(one)
-            stretched[:, :DEPTH, -1] = answer.stretched(two)
+                    stretched[:, d, k] = tables.take(slot[k] * NODES + nodes[d], mode="wrap")
+            stretched[slot[-1] < 0, :DEPTH, -2] = answer.odds.take(one, axis=0)
+            stretched[:, :DEPTH, -1] = answer.odds.take(two, axis=0)
             times = np.where(tokens.is_end, vocabulary.documents, np.where(places >= 0, vocabulary.counts[places] if len(vocabulary.counts) else 0, 0))
             rare = classes == RARE
             times[rare] = answer.times(tokens.hashes[rare])
@@ -582,15 +608,16 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
             with_code = coded[classes, best]
             without = masses[classes] - with_code
             asks = (followed != _NONE) & (classes != END) & (without >= PRIOR / 2)
-            stretched[asks, DEPTH, 0] = np.log(with_code[asks] / without[asks])
-            stretched[asks, DEPTH, 1] = 1
-            stretched[asks, DEPTH, 2] = _last(asks, np.where(hit, 1, -1), tokens, 0)[asks]
-            stretched[asks, DEPTH, 4] = followed[asks] * np.float32(_STEP)
+            one = round(1 / _STEP)
+            stretched[asks, DEPTH, 0] = np.clip(np.rint(np.log(with_code[asks] / without[asks]) / _STEP), -127, 127)
+            stretched[asks, DEPTH, 1] = one
+            stretched[asks, DEPTH, 2] = _last(asks, np.where(hit, one, -one), tokens, 0)[asks]
+            stretched[asks, DEPTH, 4] = followed[asks]
             left = np.where(asks, np.where(hit, with_code, without), masses[classes])
             gates = (_before(classes, tokens.starts, END) < MIDDLE) + 2 * (stretched[:, 0, -1] != 0)
             lengths = tokens.ends - tokens.starts + 1
-            decided = np.concatenate([bits.T, np.where(asks, hit, -1)[:, None]], axis=1)
-            cost = mixed_cost(stretched, decided, gates, lengths, tokens.starts, first_weights) / np.log(10)
+            decided = np.concatenate([bits, np.where(asks, hit, -1)[None]]).astype(np.int8).T
+            cost = mixed_cost(stretched, decided, gates, lengths, tokens.starts, first_weights, _STEP) / np.log(10)
             # What the words that are left share.
             own = np.log10(times + PRIOR)
             total, base = (np.bincount(tokens.owner, x, n) for x in (cost + own - np.log10(left), own - denominator))
